@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import quality
+from loomgrid.llm import chat, langid, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,75 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_quality_rules": op8_quality_rules}
-ORACLE: dict[str, str] = {}
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads back from every formatted conversation, and from one that says the template's own marks."""
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.render(rows.unionByName(more)))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.take(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~held_out()))
+    return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_chat_format, op5_source_mix, op7_sharding, op8_quality_rules, op10_language_id)}
+
+_SOURCE = "coalesce('0' || source, '1')"
+_KEY = "('0x' || substr(md5({}), 1, 15))::bigint"
+
+_OP5 = f"""
+with recursive docs as (
+  select doc_id, {_SOURCE} as src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         {_KEY.format(f"'{mixing.SEED}|' || coalesce(doc_id::varchar, '')")} as k
+  from documents),
+sources as (
+  select src, sum(size)::bigint as source_size, [3.0e0, 1.0e0, 2.0e0][((row_number() over (order by src) - 1) % 3 + 1)::int] as w from docs group by src),
+levels as (
+  select *, 2.0e0 * source_size as most,
+         (1.5e0 * (sum(source_size) over ())::double - coalesce(sum(2.0e0 * source_size) over (order by 2.0e0 * source_size / w, src rows between unbounded preceding and 1 preceding), 0))
+         / sum(w) over (order by 2.0e0 * source_size / w, src rows between current row and unbounded following) as level
+  from sources),
+plan as (
+  select src, source_size, least(most, coalesce((select level from levels l where l.level * l.w < l.most order by l.most / l.w, l.src limit 1) * w, most)) as target from levels),
+placed as (
+  select d.doc_id, d.size, p.source_size, p.target, floor(p.target)::bigint as words,
+         (sum(d.size) over (partition by d.src order by d.k, d.doc_id rows unbounded preceding) - d.size)::bigint as at_word
+  from docs d join plan p using (src))
+select doc_id, size, source_size, target,
+       (least(size, greatest(0, words - at_word)) + least(size, greatest(0, words - source_size - at_word)))::bigint as taken
+from placed
+"""
+
+#: DuckDB has no crc32: the tests use this for the rest of op7's columns.
+OP7_SHARDS = f"""
+with docs as (
+  select doc_id, {_SOURCE} as src, strlen(coalesce(text, ''))::bigint + 1 as size, coalesce(text, '') as body,
+         {_KEY.format(f"'{sharding.SEED}|' || coalesce(text, '')")} as kt,
+         {_KEY.format(f"'{sharding.SEED}|' || coalesce(doc_id::varchar, '')")} as kd
+  from documents),
+within as (
+  select *, row_number() over (partition by src order by kt, kd, doc_id) - 1 as r, count(*) over (partition by src) as n from docs),
+placed as (
+  select *, row_number() over (order by (2 * r + 1)::double / (2 * n)::double, src, r) - 1 as p, count(*) over () as total from within)
+select doc_id, size, (p * 8 // total)::int as shard, row_number() over (partition by p * 8 // total order by p) - 1 as slot from placed
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mix": _OP5}
