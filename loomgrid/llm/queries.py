@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import chat, langid, mixing, quality, secrets, sharding
+from loomgrid.llm import chat, decontaminate, langid, mixing, quality, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reads back from every formatted conversation, and from one that says the template's own marks."""
     said = "\\### Assistant: </turn> ok"
@@ -45,6 +50,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every page's revisit resolves."""
+    found = warc.resolve(warc.recrawl(table(spark, sf_dir, "pages")))
+    told = F.array_join(F.transform("headers", lambda x: F.concat(x["name"], F.lit(": "), x["value"])), "\n")
+    return found.select(F.expr("record_id div 2").alias("page_id"), "canonical_url", "outcome", F.expr("response_id div 2").alias("response_page_id"), F.sha2(told, 256).alias("headers_sha256"))
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
@@ -56,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_chat_format, op5_source_mix, op6_secret_scan, op7_sharding, op8_quality_rules, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_chat_format, op5_source_mix, op6_secret_scan, op7_sharding, op8_quality_rules, op9_warc_revisits, op10_language_id)}
 
 _SOURCE = "coalesce('0' || source, '1')"
 _KEY = "('0x' || substr(md5({}), 1, 15))::bigint"
@@ -98,4 +110,27 @@ placed as (
 select doc_id, size, (p * 8 // total)::int as shard, row_number() over (partition by p * 8 // total order by p) - 1 as slot from placed
 """
 
-ORACLE: dict[str, str] = {"op5_source_mix": _OP5}
+_OP9 = r"""
+with parts as (
+  select page_id, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest from pages),
+named as (
+  select page_id, html,
+         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www[0-9]*\.', ''), ':(80|443)$', '') as host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sid|sessionid)(=|$)'))) as q
+  from parts),
+crawl as (
+  select page_id, md5(coalesce(html, '')) as tag, strlen(coalesce(html, '')) as n,
+         host || case when path = '' then '/' else path end || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as canonical_url
+  from named),
+latest as (
+  select canonical_url, max(page_id) as response_page_id from crawl where n > 0 and canonical_url is not null group by canonical_url),
+met as (
+  select c.page_id, c.canonical_url, c.tag, l.response_page_id, r.n, case when r.page_id is null then 'no_response' when r.tag = c.tag then 'resolved' else 'mismatch' end as outcome
+  from crawl c left join latest l using (canonical_url) left join crawl r on r.page_id = l.response_page_id)
+select page_id, canonical_url, outcome, response_page_id,
+       case when outcome = 'resolved' then sha256('content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || (page_id + 1000000000000) || chr(10) || 'etag: W/"' || tag || '"') end as headers_sha256
+from met
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mix": _OP5, "op9_warc_revisits": _OP9}
