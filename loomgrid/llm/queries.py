@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import chat, decontaminate, langid, mixing, quality, secrets, sharding, suffixes, warc
+from loomgrid.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(rows.unionByName(more)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under a similarity of 0.9 of three-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.take(table(spark, sf_dir, "documents"))
@@ -73,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_chat_format, op5_source_mix, op6_secret_scan, op7_sharding, op8_quality_rules, op9_warc_revisits, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_source_mix, op6_secret_scan, op7_sharding, op8_quality_rules, op9_warc_revisits, op10_language_id)}
 
 _SOURCE = "coalesce('0' || source, '1')"
 _KEY = "('0x' || substr(md5({}), 1, 15))::bigint"

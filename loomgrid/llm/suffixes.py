@@ -62,7 +62,7 @@ def minimisers(w: Words, min_words: int = MIN_WORDS, key: int = KEY) -> tuple[np
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows of (key, text, pos) whose key occurs with another text, by sorting and comparing neighbours."""
+    """The rows of (key, text, pos) whose key occurs with another text, by sorting and comparing neighbours; equal rows count once in a batch."""
     order = ["key", "text", "pos"]
     dealt = rows.repartitionByRange(parts(rows), *order).sortWithinPartitions(*order)
     names = [*order, "state"]
@@ -90,10 +90,12 @@ def shared(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            n = len(cols[0])
-            if not n:
+            if not len(cols[0]):
                 continue
-            key, text = cols[0], cols[1]
+            fresh = np.ones(len(cols[0]), bool)
+            fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            cols = [c[fresh] for c in cols]
+            n, key, text = len(cols[0]), cols[0], cols[1]
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             head = new[1] if len(new) > 1 else n
             own = [c[:head] for c in cols]
