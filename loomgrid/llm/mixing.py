@@ -160,7 +160,7 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     without words is not in the mix.
     """
     names, made = docs.columns, ["_mix_source", "_mix_text", "_mix_id"]
-    got = _taken(docs, seed).groupBy("_source", "_text", "doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
+    got = _taken(docs, seed).filter("size > 0").groupBy("_source", "_text", "doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
     got = got.select(F.col("_source").alias(made[0]), F.col("_text").alias(made[1]), F.col("doc_id").alias(made[2]), "_times").filter("_times > 0")
     own = docs.select(*names, source_key().alias("_s"), F.xxhash64("text").alias("_t"))
     met = own.join(got, (F.col("_s") == F.col(made[0])) & (F.col("_t") == F.col(made[1])) & own["doc_id"].eqNullSafe(F.col(made[2])))
