@@ -15,10 +15,11 @@ with them, go through inverted lists, in steps that each lose no link:
 2.  The sets that are left send their prefixes to lists again, with a bitmap of
     the parities of their shingles: the bits in which two bitmaps differ are no
     more than the shingles in which the sets differ, which rules most pairs out.
-    First each list proposes stars (its leaders with all others); they are verified
-    exactly, and components formed; then stars of one member for each component,
-    until nothing new links. Near copies, however many, are one component by now.
-3.  Lists that still hold several components propose all pairs between these,
+    Short lists propose all their pairs. Long ones first propose stars (leaders
+    with all others); they are verified exactly, and components formed; then stars
+    of one member for each component, until nothing new links. Near copies, however
+    many, are one component by now.
+3.  Long lists that still hold several components propose all pairs between these,
     block by block; verified, they give the rest of the links.
 
 The bound is where the rows of listing subsets begin to outnumber those of lists,
@@ -48,7 +49,7 @@ from loomgrid.llm.suffixes import shared
 from loomgrid.llm.words import Words, mix, slices
 
 U = np.uint64
-PARITY_BITS, BLOCK, LEADERS, MAX_BOUND, FILTER_BITS = 256, 1024, 8, 32, 26
+PARITY_BITS, SHORT, BLOCK, LEADERS, MAX_BOUND, FILTER_BITS = 256, 48, 1024, 8, 32, 26
 
 
 class Rule:
@@ -326,6 +327,27 @@ def star_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
     return dealt.mapInArrow(run, PAIR).distinct()
 
 
+def short_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
+    """a, b of all pairs that lists of at most SHORT members propose; postings: key, set, size, bits."""
+    dealt = postings.repartition(parts(postings), "key").sortWithinPartitions("key", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], None] = {}
+        for rows in _by_group(batches, ["key"], SHORT + 1):
+            sets, sizes, bits = _columns(rows, "set", "size", "bits")
+            own = _List(rule, bound, sets, sizes, _bits(bits))
+            for i in range(len(sets) - 1):
+                others = np.arange(i + 1, len(sets))
+                found.update(((int(sets[i]), int(x)), None) for x in sets[others[own.may(i, others)]])
+            if len(found) > 10_000:
+                yield _pairs(list(found))
+                found = {}
+        if found:
+            yield _pairs(list(found))
+
+    return dealt.mapInArrow(run, PAIR)
+
+
 def all_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
     """a, b of all pairs of different components that lists propose; postings: key, set, size, bits, root.
 
@@ -367,28 +389,28 @@ def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def heavy_links(docs: DataFrame, k: int, rule: Rule, bound: int, links: DataFrame) -> DataFrame:
     """Links of heavy sets, as pairs of sets; links: of light sets. Enough of them for the components."""
-    front = shared(fronts(docs, k, rule, bound)).groupBy("text", "key").agg(F.max("pos").alias("pos"))
-    counts = front.groupBy("text").agg(F.sum(F.col("pos") % 2).alias("n"), F.max(F.expr("pos div 2")).alias("size"))
-    size = F.col("size")
-    missing = size - F.expr(f"(size * {rule.percent} + 99) div 100")
-    enough = F.least(size, F.floor(missing * 5 / 4) + 2) - missing
+    front = shared(fronts(docs, k, rule, bound), odd=True).distinct()
+    counts = front.groupBy("text").agg(F.count("*").alias("n"), F.max(F.expr("pos div 2")).alias("size"))
+    missing = F.expr(f"size - (size * {rule.percent} + 99) div 100")
+    enough = F.least(F.col("size"), F.floor(missing * 5 / 4) + 2) - missing
     met = cut(counts.filter(F.col("n") >= enough).select(F.col("text").alias("set")))
     sets = cut(left_sets(docs, k, rule, met))
     postings = prefixes(sets, rule)
-    repeated = postings.groupBy("key").agg(F.min("set").alias("_lo"), F.max("set").alias("_hi")).filter("_lo <> _hi").select("key")
-    postings = cut(postings.join(repeated, "key", "left_semi"))
-    links = cut(links.unionByName(verified(star_pairs(postings, rule, bound), sets, rule)))
-    while True:
-        rows = cut(_rooted(postings, links))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key")
-        rows = cut(rows.join(mixed, "key", "left_semi"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    postings = cut(postings.join(lists, "key"))
+    short, long = postings.filter(f"n <= {SHORT}").drop("n"), postings.filter(f"n > {SHORT}").drop("n")
+    links = cut(links.unionByName(verified(short_pairs(short, rule, bound).unionByName(star_pairs(long, rule, bound)).distinct(), sets, rule)))
+    while not long.isEmpty():
+        rooted = _rooted(long, links)
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key")
+        long = cut(rooted.join(mixed, "key", "left_semi"))
         # one member of each component in each list
-        heads = rows.groupBy("key", "root").agg(F.min(F.struct("set", "size", "bits")).alias("m")).select("key", "m.set", "m.size", "m.bits")
+        heads = long.groupBy("key", "root").agg(F.min(F.struct("set", "size", "bits")).alias("m")).select("key", "m.set", "m.size", "m.bits")
         more = cut(verified(star_pairs(heads, rule, bound).join(links, ["a", "b"], "left_anti"), sets, rule))
         if more.isEmpty():
-            break
-        links = cut(links.unionByName(more))
-    return links.unionByName(verified(all_pairs(rows, rule, bound), sets, rule))
+            return links.unionByName(verified(all_pairs(long, rule, bound), sets, rule))
+        links, long = cut(links.unionByName(more)), long.drop("root")
+    return links
 
 
 def _found(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

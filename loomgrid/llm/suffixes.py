@@ -61,8 +61,11 @@ def minimisers(w: Words, min_words: int = MIN_WORDS, key: int = KEY) -> tuple[np
     return at, (_least(h, span)[at] & low).astype(np.int64)
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows of (key, text, pos) whose key occurs with another text, by sorting and comparing neighbours; equal rows count once in a batch."""
+def shared(rows: DataFrame, odd: bool = False) -> DataFrame:
+    """The rows of (key, text, pos) whose key occurs with another text, by sorting and comparing neighbours; equal rows count once in a batch.
+
+    odd: only those of odd pos, though all are compared.
+    """
     order = ["key", "text", "pos"]
     dealt = rows.repartitionByRange(parts(rows), *order).sortWithinPartitions(*order)
     names = [*order, "state"]
@@ -72,12 +75,15 @@ def shared(rows: DataFrame) -> DataFrame:
         ready: list[tuple[list[np.ndarray], int]] = []
         group: dict = {}
 
+        def kept(cols: list[np.ndarray]) -> list[np.ndarray]:
+            return [c[cols[2] % 2 == 1] for c in cols] if odd else cols
+
         def extend(cols: list[np.ndarray]) -> None:
             if not group["sure"] and group["text"] == cols[1][-1]:
                 group["held"].append(cols)
                 return
             group["sure"] = True
-            ready.extend((x, 1) for x in [*group["held"], cols])
+            ready.extend((kept(x), 1) for x in [*group["held"], cols])
             group["held"] = []
 
         def begin(cols: list[np.ndarray], first: bool) -> None:
@@ -111,7 +117,7 @@ def shared(rows: DataFrame) -> DataFrame:
                 many = (text[new] != text[stop - 1])[1:-1]
                 middle = np.repeat(many, (stop - new)[1:-1])
                 if middle.any():
-                    ready.append(([c[head : new[-1]][middle] for c in cols], 1))
+                    ready.append((kept([c[head : new[-1]][middle] for c in cols]), 1))
                 begin([c[new[-1] :] for c in cols], False)
             for x, state in ready:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x), pa.array(np.full(len(x[0]), state, np.int32))], names=names)
@@ -124,6 +130,8 @@ def shared(rows: DataFrame) -> DataFrame:
     found = cut(dealt.mapInArrow(run, "key long, text long, pos int, state int"))
     edges = found.filter("state < 1").groupBy("key").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi"), F.min("state").alias("_least")).filter("_lo <> _hi or _least < 0").select("key")
     settled = found.filter("state = 0").join(edges, "key", "left_semi")
+    if odd:
+        settled = settled.filter("pos % 2 = 1")
     return found.filter("state = 1").unionByName(settled).select(*order)
 
 
