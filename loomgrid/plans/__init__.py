@@ -1,6 +1,6 @@
 """All queries of the engine, by family; importing a family registers its queries."""
 
-from loomgrid.plans import scans
+from loomgrid.plans import graphs, scans
 from loomgrid.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "scans"]
+__all__ = ["ORACLE", "QUERIES", "graphs", "scans"]
