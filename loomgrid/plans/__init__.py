@@ -1,6 +1,6 @@
 """All queries of the engine, by family; importing a family registers its queries."""
 
-from loomgrid.plans import graphs, lookups, scans
+from loomgrid.plans import accounts, graphs, lookups, scans
 from loomgrid.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "graphs", "lookups", "scans"]
+__all__ = ["ORACLE", "QUERIES", "accounts", "graphs", "lookups", "scans"]
