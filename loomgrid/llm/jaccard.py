@@ -12,10 +12,11 @@ with them, go through inverted lists, in steps that each lose no link:
     its first ones most must be in the other, near its front. Each set sends its
     front to the lists; sets of whose front too little meets another set are done.
     For most texts that is so, and nothing else of them is ever moved.
-2.  The sets that are left send their prefixes to lists again, with a bitmap of
-    the parities of their shingles: the bits in which two bitmaps differ are no
-    more than the shingles in which the sets differ, which rules most pairs out.
-    Short lists propose all their pairs. Long ones first propose stars (leaders
+2.  The sets that are left go to lists again, with a bitmap of the parities of
+    their shingles: the bits in which two bitmaps differ are no more than the
+    shingles in which the sets differ, which rules most pairs out, and a pair that
+    links meets in many lists, which rules out most others. Short lists propose
+    all their pairs. Long ones first propose stars (leaders
     with all others); they are verified exactly, and components formed; then stars
     of one member for each component, until nothing new links. Near copies, however
     many, are one component by now.
@@ -49,7 +50,7 @@ from loomgrid.llm.suffixes import shared
 from loomgrid.llm.words import Words, mix, slices
 
 U = np.uint64
-PARITY_BITS, SHORT, BLOCK, LEADERS, MAX_BOUND, FILTER_BITS = 256, 48, 1024, 8, 32, 26
+PARITY_BITS, BITMAP_SIZE, SHORT, BLOCK, LEADERS, MAX_BOUND, FILTER_BITS = 256, 1500, 6, 1024, 8, 32, 26
 
 
 class Rule:
@@ -86,8 +87,9 @@ def elements(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     last = np.minimum(at + k, w.first[doc + 1]) - 1
     length = w.hi[last] - w.lo[at]
     e = (U(127) - np.minimum(length // 2, 127).astype(U) << U(56)) | (h >> U(8))
-    order = np.lexsort((e, doc))
-    doc, e = doc[order], e[order]
+    ends = np.searchsorted(doc, np.arange(w.n + 1))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        e[a:b].sort()
     new = np.ones(len(e), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (e[1:] != e[:-1])
     doc, e = doc[new], e[new]
@@ -213,26 +215,27 @@ def _parities(e: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def prefixes(sets: DataFrame, rule: Rule) -> DataFrame:
-    """key, set, size and bits of the prefix of each set: of two that link, the prefixes meet."""
+def postings_of(sets: DataFrame, rule: Rule) -> DataFrame:
+    """key, set, size, front and bits of the shingles that each set sends to the lists; larger sets have no bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
+            for at in range(0, whole.num_rows, 100):
+                b = whole.slice(at, 100)
                 size = b.column("size").to_numpy().astype(np.int64)
                 e = b.column("elements").flatten().to_numpy().view(U)
                 first = np.cumsum(size) - size
                 bits = _parities(e, first)
-                many = rule.most_missing(size) + 1
+                bits[size > BITMAP_SIZE] = 0
+                many = rule.sent(size)
                 row = np.repeat(np.arange(len(size)), many)
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(e[first[row] + rank].view(np.int64)), b.column("set").take(pa.array(row)), b.column("size").take(pa.array(row)), pa.array([x.tobytes() for x in bits], pa.binary()).take(pa.array(row))],
-                    names=["key", "set", "size", "bits"],
+                    [pa.array(e[first[row] + rank].view(np.int64)), b.column("set").take(pa.array(row)), b.column("size").take(pa.array(row)), pa.array(rank < rule.front(size)[row]), pa.array([x.tobytes() for x in bits], pa.binary()).take(pa.array(row))],
+                    names=["key", "set", "size", "front", "bits"],
                 )
 
-    return sets.select("set", "size", "elements").mapInArrow(run, "key long, set long, size int, bits binary")
+    return sets.select("set", "size", "elements").mapInArrow(run, "key long, set long, size int, front boolean, bits binary")
 
 
 class _List:
@@ -245,7 +248,7 @@ class _List:
         """Which of the others the i-th may link with."""
         s, t = self.sizes[i], self.sizes[others]
         need = self.rule.overlap(s, t)
-        apart = np.bitwise_count(self.bits[i] ^ self.bits[others]).sum(1)
+        apart = np.where((t > BITMAP_SIZE) | (s > BITMAP_SIZE), 0, np.bitwise_count(self.bits[i] ^ self.bits[others]).sum(1))
         return (need <= np.minimum(s, t)) & (apart <= s + t - 2 * need) & (np.maximum(s, t) > self.bound) & (self.sets[others] != self.sets[i])
 
     def stars(self) -> list[tuple[int, int]]:
@@ -327,51 +330,68 @@ def star_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
     return dealt.mapInArrow(run, PAIR).distinct()
 
 
-def short_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
-    """a, b of all pairs that lists of at most SHORT members propose; postings: key, set, size, bits."""
-    dealt = postings.repartition(parts(postings), "key").sortWithinPartitions("key", "set")
+def _counted(rows: Iterator[list[pa.RecordBatch]], rule: Rule, bound: int) -> Iterator[pa.RecordBatch]:
+    """a, b, n and need: in how many lists a pair meets in the front of its smaller set a, and how many a link needs."""
+    counts: dict[tuple[int, int], list[int]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], None] = {}
-        for rows in _by_group(batches, ["key"], SHORT + 1):
-            sets, sizes, bits = _columns(rows, "set", "size", "bits")
-            own = _List(rule, bound, sets, sizes, _bits(bits))
-            for i in range(len(sets) - 1):
-                others = np.arange(i + 1, len(sets))
-                found.update(((int(sets[i]), int(x)), None) for x in sets[others[own.may(i, others)]])
-            if len(found) > 10_000:
-                yield _pairs(list(found))
-                found = {}
-        if found:
-            yield _pairs(list(found))
+    def out() -> pa.RecordBatch:
+        a, b = np.array(list(counts), np.int64).reshape(-1, 2).T
+        n, need = np.array(list(counts.values()), np.int64).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(need)], names=["a", "b", "n", "need"])
 
-    return dealt.mapInArrow(run, PAIR)
+    for group in rows:
+        sets, sizes, fronts_, bits = _columns(group, "set", "size", "front", "bits")
+        names = group[0].schema.names
+        roots = _columns(group, "root")[0] if "root" in names else None
+        side = _columns(group, "_b")[0] if "_pair" in names else None
+        own = _List(rule, bound, sets, sizes, _bits(bits))
+        enough = rule.front(own.sizes) - rule.most_missing(own.sizes)
+        for i in np.flatnonzero(fronts_[:-1]):
+            others = np.arange(i + 1, len(sets)) if roots is None else i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+            if side is not None:
+                others = others[side[others] != side[i]]
+            for x in sets[others[own.may(i, others)]] if len(others) else ():
+                counts.setdefault((int(sets[i]), int(x)), [0, int(enough[i])])[0] += 1
+        if len(counts) > 100_000:
+            yield out()
+            counts.clear()
+    if counts:
+        yield out()
+
+
+COUNTED = "a long, b long, n long, need long"
+
+
+def short_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
+    """a, b, n and need of the pairs of lists of at most SHORT members."""
+    dealt = postings.repartition(parts(postings), "key").sortWithinPartitions("key", "size", "set")
+    return dealt.mapInArrow(lambda batches: _counted(_by_group(batches, ["key"], SHORT + 1), rule, bound), COUNTED).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
 
 
 def all_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
-    """a, b of all pairs of different components that lists propose; postings: key, set, size, bits, root.
+    """a, b, n and need of the pairs of different components in the lists; postings have a root.
 
-    A list is cut into blocks, and each two of its blocks go to one task.
+    A list is cut into blocks, and each two of its blocks go to one task, whose
+    pairs it alone tells: those of one block by the task of that block with itself.
     """
     placed = ranked(postings.withColumn("_list", F.col("key").cast("string")), "_list", ["size", "set"])
     blocks = placed.withColumn("_b", F.expr(f"rank div {BLOCK}")).withColumn("_n", F.expr(f"(group_rows + {BLOCK - 1}) div {BLOCK}"))
-    two = blocks.withColumn("_c", F.explode(F.expr("sequence(0L, _n - 1)"))).select("key", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), "set", "size", "bits", "root")
+    two = blocks.withColumn("_c", F.explode(F.expr("sequence(0L, _n - 1)"))).select("key", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), "_b", "set", "size", "front", "bits", "root")
     keys = ["key", "_lo", "_hi"]
     dealt = two.repartition(parts(two), *keys).sortWithinPartitions(*keys, "size", "set")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
         for rows in _by_group(batches, keys, 2 * BLOCK + 1):
-            sets, sizes, bits, roots = _columns(rows, "set", "size", "bits", "root")
-            own = _List(rule, bound, sets, sizes, _bits(bits))
-            found = []
-            for i in range(len(sets) - 1):
-                others = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
-                if len(others):
-                    found += [(int(sets[i]), int(x)) for x in sets[others[own.may(i, others)]]]
-            if found:
-                yield _pairs(found)
+            lo, hi = rows[0].column("_lo")[0].as_py(), rows[0].column("_hi")[0].as_py()
+            if lo == hi:
+                yield rows
+            else:
+                yield [r.append_column("_pair", pa.array([True] * r.num_rows)) for r in rows]
 
-    return dealt.mapInArrow(run, PAIR).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(groups(batches), rule, bound)
+
+    return dealt.mapInArrow(run, COUNTED)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -395,11 +415,13 @@ def heavy_links(docs: DataFrame, k: int, rule: Rule, bound: int, links: DataFram
     enough = F.least(F.col("size"), F.floor(missing * 5 / 4) + 2) - missing
     met = cut(counts.filter(F.col("n") >= enough).select(F.col("text").alias("set")))
     sets = cut(left_sets(docs, k, rule, met))
-    postings = prefixes(sets, rule)
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    postings = postings_of(sets, rule)
+    lists = postings.groupBy("key").agg(F.count("*").alias("_members"), F.bool_or("front").alias("_any")).filter("_members > 1 and _any").drop("_any")
     postings = cut(postings.join(lists, "key"))
-    short, long = postings.filter(f"n <= {SHORT}").drop("n"), postings.filter(f"n > {SHORT}").drop("n")
-    links = cut(links.unionByName(verified(short_pairs(short, rule, bound).unionByName(star_pairs(long, rule, bound)).distinct(), sets, rule)))
+    # a pair that links meets often enough: in short lists alone, or in a long one too
+    short, long = cut(short_pairs(postings.filter(f"_members <= {SHORT}"), rule, bound)), postings.filter(f"_members > {SHORT}").drop("_members")
+    often = short.filter("n >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = cut(links.unionByName(verified(often.unionByName(star_pairs(long, rule, bound)).distinct(), sets, rule)))
     while not long.isEmpty():
         rooted = _rooted(long, links)
         mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key")
@@ -408,7 +430,9 @@ def heavy_links(docs: DataFrame, k: int, rule: Rule, bound: int, links: DataFram
         heads = long.groupBy("key", "root").agg(F.min(F.struct("set", "size", "bits")).alias("m")).select("key", "m.set", "m.size", "m.bits")
         more = cut(verified(star_pairs(heads, rule, bound).join(links, ["a", "b"], "left_anti"), sets, rule))
         if more.isEmpty():
-            return links.unionByName(verified(all_pairs(long, rule, bound), sets, rule))
+            both = all_pairs(long, rule, bound).unionByName(short).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
+            rest = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(links, ["a", "b"], "left_anti")
+            return links.unionByName(verified(rest, sets, rule))
         links, long = cut(links.unionByName(more)), long.drop("root")
     return links
 

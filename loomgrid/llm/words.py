@@ -18,7 +18,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
