@@ -18,8 +18,8 @@ with them, go through inverted lists, in steps that each lose no link:
     links meets in many lists, which rules out most others. Short lists propose
     all their pairs. Long ones first propose stars (leaders
     with all others); they are verified exactly, and components formed; then stars
-    of one member for each component, until nothing new links. Near copies, however
-    many, are one component by now.
+    of one member for each component. Near copies, however many, are mostly one
+    component by now.
 3.  Long lists that still hold several components propose all pairs between these,
     block by block; verified, they give the rest of the links.
 
@@ -50,7 +50,7 @@ from loomgrid.llm.suffixes import shared
 from loomgrid.llm.words import Words, mix, slices
 
 U = np.uint64
-PARITY_BITS, BITMAP_SIZE, SHORT, BLOCK, LEADERS, MAX_BOUND, FILTER_BITS = 256, 1500, 6, 1024, 8, 32, 26
+PARITY_BITS, BITMAP_SIZE, SHORT, ROUNDS, BLOCK, LEADERS, MAX_BOUND, FILTER_BITS = 256, 1500, 10, 2, 1024, 8, 32, 26
 
 
 class Rule:
@@ -421,20 +421,20 @@ def heavy_links(docs: DataFrame, k: int, rule: Rule, bound: int, links: DataFram
     # a pair that links meets often enough: in short lists alone, or in a long one too
     short, long = cut(short_pairs(postings.filter(f"_members <= {SHORT}"), rule, bound)), postings.filter(f"_members > {SHORT}").drop("_members")
     often = short.filter("n >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = cut(links.unionByName(verified(often.unionByName(star_pairs(long, rule, bound)).distinct(), sets, rule)))
-    while not long.isEmpty():
+    links = cut(links.unionByName(verified(often.unionByName(star_pairs(long, rule, bound)).distinct(), sets, rule)).distinct())
+    for last in [False] * (ROUNDS - 1) + [True]:
         rooted = _rooted(long, links)
         mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key")
         long = cut(rooted.join(mixed, "key", "left_semi"))
+        if last:
+            break
         # one member of each component in each list
         heads = long.groupBy("key", "root").agg(F.min(F.struct("set", "size", "bits")).alias("m")).select("key", "m.set", "m.size", "m.bits")
-        more = cut(verified(star_pairs(heads, rule, bound).join(links, ["a", "b"], "left_anti"), sets, rule))
-        if more.isEmpty():
-            both = all_pairs(long, rule, bound).unionByName(short).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
-            rest = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(links, ["a", "b"], "left_anti")
-            return links.unionByName(verified(rest, sets, rule))
-        links, long = cut(links.unionByName(more)), long.drop("root")
-    return links
+        more = verified(star_pairs(heads, rule, bound).join(links, ["a", "b"], "left_anti"), sets, rule)
+        links, long = cut(links.unionByName(more).distinct()), long.drop("root")
+    both = all_pairs(long, rule, bound).unionByName(short).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
+    rest = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(links, ["a", "b"], "left_anti")
+    return links.unionByName(verified(rest, sets, rule))
 
 
 def _found(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
