@@ -13,8 +13,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event log as a stream of files, with event time as a timestamp."""
-    return spark.readStream.schema(EVENTS).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    """The event log as a stream of files, with event time as a timestamp.
+
+    path: a folder, or one file, which a stream source takes only as a pattern.
+    """
+    return spark.readStream.schema(EVENTS).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
