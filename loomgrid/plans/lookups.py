@@ -74,7 +74,7 @@ def digest_ids(spark, d):
     return view(spark, d, "units").select("id", lookup.rendered_ranges(F.col("path"), F.col("start_line"), F.col("end_line")).alias("location"), text.anchor(F.col("id")).alias("anchor"))
 
 
-_FIRST = "regexp_extract(source, '^(.*?[.!?])(\\s|$)', 1)"
+_FIRST = "regexp_extract(trim(source, ' '), '(?s)^(.*?[.!?])(\\s|$)', 1)"
 
 
 @query(f"select ordinal, trim(case when {_FIRST} <> '' then {_FIRST} else regexp_extract(source, '^[^\\n]*') end, ' ') as summary from files", "files")
@@ -82,7 +82,10 @@ def summary_sentence(spark, d):
     return view(spark, d, "files").select("ordinal", text.summary_sentence(F.col("source")).alias("summary"))
 
 
-@query("select item_id, array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) >= 3 and w not in ('and', 'for', 'from', 'get', 'has', 'not', 'set', 'that', 'the', 'this', 'with')), lambda w: case when length(w) > 3 and w like '%s' and w not like '%ss' then left(w, length(w) - 1) else w end), ' ') as words from benchmark")
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(f"select item_id, array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) >= 3 and w not in ({_STOP})), lambda w: case when length(w) > 3 and w like '%s' and w not like '%ss' then left(w, length(w) - 1) else w end), ' ') as words from benchmark")
 def word_tokens_df(spark, d):
     return load(spark, d, "benchmark").select("item_id", F.array_join(text.word_tokens(F.col("text")), " ").alias("words"))
 
@@ -93,7 +96,7 @@ def normalize_titles(spark, d):
     return load(spark, d, "benchmark").select("item_id", text.normal_title(short).alias("title"), text.kebab(short).alias("kebab"), text.slug(F.lower(short)).alias("slug"))
 
 
-@query("select id, concat('pkg::', name, '::', ordinal) as symbol, split_part(concat('pkg::', name, '::', ordinal), '::', -1) as short, regexp_replace(name, '([\\\\\\[\\]*_`<>])', '\\\\\\1', 'g') as link, case when size % 2 = 0 then '``` a``b ```' else '` ' || name || ' `' end as code from units", "units")
+@query("select id, concat('pkg::', name, '::', ordinal) as symbol, concat(name, '::', ordinal) as short, regexp_replace(name, '([\\\\\\[\\]*_`<>])', '\\\\\\1', 'g') as link, case when size % 2 = 0 then '``` a``b ```' else '` ' || name || ' `' end as code from units", "units")
 def scalar_strings(spark, d):
     u = view(spark, d, "units")
     symbol = F.concat_ws("::", F.lit("pkg"), "name", "ordinal")

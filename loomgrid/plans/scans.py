@@ -12,7 +12,7 @@ def files_manifest(spark, d):
     return scan.manifest(view(spark, d, "files"), ["en", "fr"])
 
 
-@query("select path, language, case when ordinal % 3 = 0 then 'tests/' || path else path end as placed, regexp_matches(case when ordinal % 3 = 0 then 'tests/' || path else path end, '(^|/)tests?/') as is_test from files", "files")
+@query("select path, language, case when ordinal % 3 = 0 then 'tests/' || path else path end as placed, ordinal % 3 = 0 as is_test from files", "files")
 def test_split(spark, d):
     placed = view(spark, d, "files").select("path", "language", F.expr("case when ordinal % 3 = 0 then 'tests/' || path else path end").alias("placed"))
     return placed.withColumn("is_test", scan.is_test(F.col("placed")))
@@ -30,7 +30,7 @@ def oversize_diagnostics(spark, d):
 
 
 @query(
-    """select ordinal, path, case lower(regexp_extract(path, '(\\.[^./]+)$', 1)) when '.txt' then 'text' when '.py' then 'python' when '.0' then 'zero' else substr(lower(regexp_extract(path, '(\\.[^./]+)$', 1)), 2) end as language
+    """select ordinal, path, case lower(regexp_extract(path, '(\\.[^./]+)$', 1)) when '.py' then 'python' when '.0' then 'zero' else substr(lower(regexp_extract(path, '(\\.[^./]+)$', 1)), 2) end as language
     from (select ordinal, replace(path, '.txt', case ordinal % 4 when 0 then '.TXT' when 1 then '.py' when 2 then '.xyz' else '' end) as path from files)""",
     "files",
 )

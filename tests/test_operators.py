@@ -23,7 +23,7 @@ def test_language_of_last_registration(spark):
 
 
 def test_excluded_folders_and_tests(spark):
-    assert not one(spark, scan.included, "a/node_modules/b.js") and one(spark, scan.included, "src/build")
+    assert not one(spark, scan.included, "a/node_modules/b.js") and one(spark, scan.included, "src/venv")
     assert one(spark, scan.is_test, "tests/a.py") and one(spark, scan.is_test, "src/test_a.py") and not one(spark, scan.is_test, "src/contest.py")
 
 
@@ -100,9 +100,12 @@ def test_python_facts():
 
 def test_texts(spark):
     assert one(spark, text.summary_sentence, "First one. Second.") == "First one."
-    assert one(spark, text.word_tokens, "parseHTTPHeaders and classes") == ["parse", "httpheader", "classe"]
+    assert one(spark, text.summary_sentence, "See e.g. the map. More.") == "See e.g. the map." and one(spark, text.summary_sentence, "no end\nhere") == "no end"
+    assert one(spark, text.word_tokens, "parseHTTPHeaders and classes") == ["parse", "http", "header", "classe"]
+    assert [one(spark, text.short_name, x) for x in ("a::b::c", "grp:x", "plain")] == ["b::c", "x", "plain"]
     assert one(spark, text.fenced, "a``b") == "``` a``b ```"
-    assert one(spark, text.mentions, "see `Pool.take` and run_all(x)") == ["Pool.take", "run_all"]
+    got = one(spark, lambda c: text.mentions(c, F.array(F.lit("Loader"))), "see `Pool.take` and run_all(x), Loader, _private")
+    assert (got.ticks, got.code, got.names) == (["Pool", "take"], ["run_all"], ["Loader"])
     assert one(spark, source_facts.casefolded, "Straße") == "strasse"
     assert one(spark, lambda c: text.first_words(c, 2), "a b c") == "a b…"
 
