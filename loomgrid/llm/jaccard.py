@@ -85,7 +85,8 @@ def elements(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     w = Words(texts, lower=True)
     doc, at, h = w.shingles(k)
     last = np.minimum(at + k, w.first[doc + 1]) - 1
-    length = w.hi[last] - w.lo[at]
+    upto = np.concatenate([[0], np.cumsum(w.hi - w.lo)])
+    length = upto[last + 1] - upto[at]  # of the words alone: the white space between them is no part of a shingle
     e = (U(127) - np.minimum(length // 2, 127).astype(U) << U(56)) | (h >> U(8))
     ends = np.searchsorted(doc, np.arange(w.n + 1))
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):

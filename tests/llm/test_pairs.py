@@ -80,6 +80,20 @@ def test_light_and_heavy_agree(near):
     assert found[0] == found[1] == found[2]
 
 
+def test_white_space_is_no_part_of_a_shingle(spark):
+    """Texts that differ only in runs of white space are equal sets, and a shingle with two spacings is one."""
+    own = [f"w{i}" for i in range(60)]
+    gaps = [" ", "  ", "\r\n", "\n\n    ", "\t \t"]
+    texts = [g.join(own) for g in gaps] + ["".join(w + gaps[i * 7 % 5] for i, w in enumerate(own))]
+    texts += [" ".join([*own[:30], "other", *own[31:]]), "   ".join([*own[:30], "other", *own[31:]])]
+    texts += ["a b c  a  b  c a b c", "a b c a b c a b c", "a\n\n\nb c"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = {(i, 58, 0) for i in range(8)} | {(8, 3, 8), (9, 3, 8), (10, 1, 10)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(map(tuple, jaccard.join(df, 3, 90).collect())) == want
+    assert {r.doc_id for r in jaccard.distinct_texts(df, 3, 90).collect()} == {0, 8, 10}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 3), (3, 100), (7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
