@@ -154,6 +154,21 @@ def test_language(spark, docs, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_blocks_of_languages_lose_no_gram(spark, docs):
+    """Models sent in blocks judge as one model does, also the few rows of a rare language beside a large one."""
+    rare = [(50_000, "zyx", "qoph zayin xerxu wyvaq"), (50_001, "zyx", "jupqi vekko hramz duxty")]
+    docs = docs.select("doc_id", "lang", "text").unionByName(spark.createDataFrame(rare, "doc_id long, lang string, text string"))
+    whole, parts = langid.train(docs), langid.train(docs, max_cells=40_000)
+    a, b = ({r.doc_id: r for r in langid.identify(docs.filter("doc_id is not null"), m).collect()} for m in (whole, parts))
+    assert [b[i].lang_pred for i in (50_000, 50_001)] == ["zyx"] * 2
+    assert a.keys() == b.keys() and all(b[i].lang_pred == r.lang_pred and abs(b[i].score - r.score) < 1e-3 and b[i].rejected == r.rejected for i, r in a.items())
+    assert len(whole.blocks) == 1 < len(parts.blocks) and parts.langs == whole.langs
+
+
+def test_gram_blocks():
+    assert langid.blocks_of([5, 5, 100, 1, 1, 1], 20) == [[0, 1], [2], [3, 4, 5]]
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
     import pyarrow as pa
