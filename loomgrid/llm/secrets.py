@@ -3,7 +3,9 @@
 Three patterns of known shapes give the base spans. The method adds tokens that
 pass a battery of randomness tests. A candidate is a run of 20 or more characters
 of base64 or its URL form, with a digit and a letter; the narrowest encoding that
-holds all its characters is inferred. Over that alphabet three p-values say how
+holds all its characters is inferred. A run that holds both + or / and - or _ fits
+none: its parts of 20 or more between + and /, and those between - and _, are
+candidates, which may overlap. Over that alphabet three p-values say how
 well the token agrees with uniform random symbols: chi-squared of the symbol
 counts, the number of runs in the lower and upper half of the alphabet, and the
 serial correlation of neighbours. Fisher's method combines them.
@@ -37,6 +39,8 @@ KINDS = [
 ]
 ADDED = "random"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Of a run that fits no encoding, the parts without the signs of the one or the other.
+PARTS = [r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+/]{20,}"]
 RATE, BINS = 0.1, 100
 
 _LOWER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -144,7 +148,15 @@ def tested(text: Column) -> Column:
 
         return let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), judged)
 
-    return F.filter(F.transform(positions(text, CANDIDATE), one), lambda s: s["class"].contains(":") & s["p"].isNotNull())
+    def candidates(span: Column) -> Column:
+        def parts(t: Column) -> Column:
+            found = F.array_distinct(F.concat(*(positions(t, pattern) for pattern in PARTS)))
+            moved = F.transform(found, lambda x: F.struct((span["start"] + x["start"]).alias("start"), (span["start"] + x["end"]).alias("end")))
+            return F.when(t.rlike("[+/]") & t.rlike("[_-]"), moved).otherwise(F.array(F.struct(span["start"].alias("start"), span["end"].alias("end"))))
+
+        return let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), parts)
+
+    return F.filter(F.transform(F.flatten(F.transform(positions(text, CANDIDATE), candidates)), one), lambda s: s["class"].contains(":") & s["p"].isNotNull())
 
 
 def levels(docs: DataFrame, rate: float = RATE) -> dict[str, float]:

@@ -75,6 +75,19 @@ def test_battery_tells_random_from_text(spark):
     assert len([i for i in got if i < 200]) >= 150 and not [i for i in got if i >= 200]
 
 
+def test_tokens_in_runs_of_mixed_signs(spark):
+    """A run with / and - fits no encoding, but its parts do."""
+    import random
+
+    rng = random.Random(6)
+    url, b64 = secrets.ENCODINGS[7][1], secrets.ENCODINGS[6][1]
+    token = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(41)) + alphabet[-1] + "a1"
+    texts = [(f"é /v1/user-files/{t} b", t) for t in (token(url) for _ in range(200))] + [(f"é key-of_{t} b", t) for t in (token(b64) for _ in range(200))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    met = {r.doc_id for r in secrets.scan(df).collect() if any(texts[r.doc_id][0][s.start : s.end] == texts[r.doc_id][1] for s in r.spans if s.kind == secrets.ADDED)}
+    assert len([i for i in met if i < 200]) >= 150 and len([i for i in met if i >= 200]) >= 150
+
+
 def test_shards(spark, docs, rows, none):
     got = sharding.assign(docs).collect()
     by = defaultdict(list)
