@@ -7,29 +7,31 @@ shingles, lists all its subsets of each size that a link with another light set
 needs; equal subsets are links at once. Heavy sets, and light ones that can link
 with them, go through inverted lists, in steps that each lose no link:
 
-1.  Shingles have one global order, longer ones first, as they are rarer, then by
-    hash. A set that links with another lacks at most a few of its shingles, so of
-    its first ones most must be in the other, near its front. Each set sends its
-    front to the lists; sets of whose front too little meets another set are done.
-    For most texts that is so, and nothing else of them is ever moved.
-2.  The sets that are left go to lists again, with a bitmap of the parities of
-    their shingles: the bits in which two bitmaps differ are no more than the
-    shingles in which the sets differ, which rules most pairs out, and a pair that
-    links meets in many lists, which rules out most others. Short lists propose
-    all their pairs. Long ones first propose stars (leaders
-    with all others); they are verified exactly, and components formed; then stars
-    of one member for each component. Near copies, however many, are mostly one
-    component by now.
-3.  Long lists that still hold several components propose all pairs between these,
-    block by block; verified, they give the rest of the links.
+1.  Shingles have one global order: those met often in a stretch of the corpus
+    last, by how often, the others first, by hash. A set that links lacks at most a
+    few of its shingles in its partner, so of the two sets' first ones, one more than
+    may be lacking, one must be in both. Each set sends these to the lists. Places in
+    the order bound what two sets can have in common from where they meet, which
+    with their sizes rules most pairs out.
+2.  Short lists propose all pairs that are left. Long ones propose stars: leaders
+    with all others. Of the sets proposed, a second scan reads all shingles. Each has
+    a bitmap of the parities of its shingles, about as many bits as shingles: the
+    bits in which two bitmaps differ are no more than the shingles in which the sets
+    differ. Pairs that pass are verified exactly, and components formed. Near
+    copies, however many, are mostly one component by now.
+3.  Long lists that still hold several components propose pairs between these,
+    block by block, first the most alike pair of each two components, then, after
+    these are verified, all others. Bitmaps come first, then verification.
 
 The bound is where the rows of listing subsets begin to outnumber those of lists,
-by the sizes of all sets. Equal sets are one from the start.
+by the sizes of all sets. Equal sets are one from the start. The order changes
+costs alone: any order gives the same links.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing
 and are their own component. Repeated rows are equal sets; a null doc_id takes
 part, and names a component only if no other can. An empty table gives no rows.
-Extra columns are ignored by join() and kept by distinct_texts().
+Very long texts are read whole, one at a time. Extra columns of any name are
+ignored by join() and kept by distinct_texts().
 """
 
 from __future__ import annotations
@@ -45,12 +47,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrid.llm.components import components
-from loomgrid.llm.ordered import cut, parts, ranked
-from loomgrid.llm.suffixes import shared
+from loomgrid.llm.ordered import cut, parts
 from loomgrid.llm.words import Words, mix, slices
 
 U = np.uint64
-PARITY_BITS, BITMAP_SIZE, SHORT, ROUNDS, BLOCK, LEADERS, MAX_BOUND, FILTER_BITS = 256, 1500, 10, 2, 1024, 8, 32, 26
+#: Lists of at most SHORT members propose all pairs; longer ones LEADERS stars a block of at most BLOCK members.
+SHORT, BLOCK, LEADERS = 64, 1024, 8
+#: Shingles that STRETCH successive ones hold in OFTEN sets come last; at most MAX_OFTEN of them are told apart. A list of more than SPLIT sets is dealt to several tasks.
+STRETCH, OFTEN, MAX_OFTEN, SPLIT = 1 << 21, 4, 1 << 20, 4096
+#: Sets of at most so many shingles are carried along by the first scan, so that the light ones need no other; no cost-chosen boundary comes near.
+CARRIED = 64
+#: Bits of the filter of the second scan for each set it looks for, and at most.
+FILTER_RATE, MAX_FILTER_BITS = 16, 29
 
 
 class Rule:
@@ -59,21 +67,13 @@ class Rule:
     def __init__(self, percent: int):
         self.percent = percent
 
-    def most_missing(self, s):
-        """Shingles of a set of s that a partner may lack: the intersection is at least percent of either set."""
-        return s - -(-s * self.percent // 100)
-
     def overlap(self, s, t):
         """The least intersection of sets of s and t that links them."""
         return -(-self.percent * (s + t) // (100 + self.percent))
 
-    def front(self, s):
-        """How many first shingles are looked at: enough that a quarter of what may be missing can be common elsewhere."""
-        return np.minimum(s, self.most_missing(s) * 5 // 4 + 2)
-
-    def sent(self, t):
-        """Of a set of t, how many first shingles may be in the front of a partner."""
-        return np.minimum(t, self.front(t * 100 // self.percent) + self.most_missing(t))
+    def sent(self, s):
+        """How many first shingles of a set are sent: one more than a partner may lack, as the intersection is at least percent of either set."""
+        return s - -(-s * self.percent // 100) + 1
 
     def subsets(self, s: int, bound: int) -> list[tuple[int, int]]:
         """Sizes of light partners and the overlap each needs."""
@@ -81,19 +81,16 @@ class Rule:
 
 
 def elements(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document and shingle of each distinct shingle, in the global order within a document, and the sizes of the sets."""
+    """Document and shingle of each distinct shingle, by hash within a document, and the sizes of the sets."""
     w = Words(texts, lower=True)
-    doc, at, h = w.shingles(k)
-    last = np.minimum(at + k, w.first[doc + 1]) - 1
-    upto = np.concatenate([[0], np.cumsum(w.hi - w.lo)])
-    length = upto[last + 1] - upto[at]  # of the words alone: the white space between them is no part of a shingle
-    e = (U(127) - np.minimum(length // 2, 127).astype(U) << U(56)) | (h >> U(8))
+    doc, _, e = w.shingles(k)
     ends = np.searchsorted(doc, np.arange(w.n + 1))
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         e[a:b].sort()
     new = np.ones(len(e), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (e[1:] != e[:-1])
-    doc, e = doc[new], e[new]
+    if not new.all():
+        doc, e = doc[new], e[new]
     return doc, e, np.bincount(doc, minlength=w.n)
 
 
@@ -105,294 +102,368 @@ def identities(e: np.ndarray, size: np.ndarray) -> np.ndarray:
     return sums[end] - sums[end - size]
 
 
+def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices, set number and size of each row, which sets the task has not met before, and the shingles of those."""
+    met: set[int] = set()
+    for b in slices(batches):
+        doc, e, size = elements(b.column("text"), k)
+        own = identities(e, size)
+        fresh = size > 0
+        for i, x in enumerate(own.tolist()):
+            if x in met:
+                fresh[i] = False
+            elif fresh[i]:
+                met.add(x)
+        keep = slice(None) if fresh.all() else fresh[doc]
+        yield b, own, size, fresh, doc[keep], e[keep]
+
+
+def _longs(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.int64, copy=False) if values.dtype != U else values.view(np.int64))
+
+
+#: Texts without a word.
+BLANK = r"(text is null or not rlike(text, '[^\\x20\\x09-\\x0D]'))"
+
+
 def described(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set and n_shingles of each row; set is null without shingles."""
+    """doc_id, _text (a hash of it), set, n_shingles and few (the shingles, if at most CARRIED) of each row; set is null without shingles.
+
+    More rows, of no document, hold shingles that a stretch of the corpus has often: n_shingles is minus how often, set the shingle.
+    """
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("_text", "set", "n_shingles")), T.StructField("few", T.ArrayType(T.LongType()))])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            _, e, size = elements(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(identities(e, size).view(np.int64), mask=size == 0), pa.array(size.astype(np.int64))], names=["doc_id", "set", "n_shingles"])
+        held: list[np.ndarray] = []
+        kind = None
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("set", T.LongType()), T.StructField("n_shingles", T.LongType())]))
+        def often() -> pa.RecordBatch:
+            x, n = np.unique(np.concatenate(held), return_counts=True)
+            x, n = x[n >= OFTEN], n[n >= OFTEN]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(x), kind), pa.nulls(len(x), pa.int64()), _longs(x), _longs(-n), pa.nulls(len(x), pa.list_(pa.int64()))], names=names)
 
+        for b, own, size, fresh, doc, e in _each(batches, k):
+            kind = b.schema.field("doc_id").type
+            held.append(e)
+            short = fresh & (size <= CARRIED)
+            at = np.where(short, size, 0)
+            few = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]), pa.int32()), _longs(e[short[doc]]), mask=pa.array(~short))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_text"), pa.array(own.view(np.int64), mask=size == 0), _longs(size), few], names=names)
+            if sum(map(len, held)) >= STRETCH:
+                yield often()
+        if held:
+            yield often()
 
-def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Set number of each row, its size, and the shingles of sets that the task has not met before."""
-    met: set[int] = set()
-    for b in slices(batches):
-        doc, e, size = elements(b.column("text"), k)
-        own = identities(e, size)
-        fresh = np.zeros(len(own), bool)
-        for i in np.flatnonzero(size):
-            if int(own[i]) not in met:
-                met.add(int(own[i]))
-                fresh[i] = True
-        keep = fresh[doc]
-        yield own, np.where(fresh, size, 0), doc[keep], e[keep]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(run, schema)
 
 
-def fronts(docs: DataFrame, k: int, rule: Rule, bound: int) -> DataFrame:
-    """key, text (the set) and pos (twice its size, plus 1 in the front) of the shingles that each set sends."""
-    least = -(-(bound + 1) * rule.percent // 100)
+class Often:
+    """Shingles that come last, in a sorted array, each with a class by how often it is met."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, size, doc, e in _each(batches, k):
-            first = np.cumsum(size) - size
-            rank = np.arange(len(doc)) - first[doc]
-            keep = (rank < rule.sent(size)[doc]) & (size >= least)[doc]
-            doc, rank = doc[keep], rank[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(e[keep].view(np.int64)), pa.array(own[doc].view(np.int64)), pa.array((2 * size[doc] + (rank < rule.front(size)[doc])).astype(np.int32))], names=["key", "text", "pos"])
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        self.rank = np.ceil(2 * np.log2(np.maximum(self.counts, 2))).astype(np.uint8)
+        self.some = np.zeros(1 << 22, bool)
+        self.some[(self.keys >> U(42)).astype(np.int64)] = True
 
-    return docs.select("text").mapInArrow(run, "key long, text long, pos int")
+    def find(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the shingles are here, and where."""
+        may = np.flatnonzero(self.some[(e >> U(42)).astype(np.int64)])
+        if not len(may):
+            return may, may
+        at = np.minimum(np.searchsorted(self.keys, e[may]), len(self.keys) - 1)
+        hit = self.keys[at] == e[may]
+        return may[hit], at[hit]
 
 
-def subsets(docs: DataFrame, k: int, rule: Rule, bound: int) -> DataFrame:
+def often_of(rows: DataFrame) -> Often:
+    """The shingles met most often, at most MAX_OFTEN; rows: from described()."""
+    got = rows.filter("n_shingles < 0").groupBy("set").agg((-F.sum("n_shingles")).alias("n")).orderBy(F.desc("n"), "set").limit(MAX_OFTEN).toArrow()
+    return Often(got.column("set").to_numpy().astype(np.int64).view(U), got.column("n").to_numpy().astype(np.int64))
+
+
+POSTING = "key long, part int, wide boolean, set long, size int, pos int"
+
+
+def postings(docs: DataFrame, k: int, rule: Rule, bound: int, often: Often) -> DataFrame:
+    """key, part, wide, set, size and pos of the shingles that each set sends; pos: the place in its order.
+
+    A list that is known to be large (wide) is dealt into parts by set.
+    """
+    least = -(-(bound + 1) * rule.percent // 100)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for _, own, size, fresh, doc, e in _each(batches, k):
+            sent = np.where(fresh & (size >= least), rule.sent(size), 0)
+            hit, at = order.find(e)
+            last = np.zeros(len(e), bool)
+            last[hit] = True
+            light = np.flatnonzero(~last)
+            own_light = doc[light]
+            pos = np.arange(len(light)) - np.searchsorted(own_light, np.arange(len(size)))[own_light]
+            keep = pos < sent[own_light]
+            row, pos, x = own_light[keep], pos[keep], e[light[keep]]
+            parts_, wide = np.zeros(len(row), np.int32), np.zeros(len(row), bool)
+            have = np.bincount(own_light, minlength=len(size))
+            need = (have < sent)[doc[hit]]
+            if need.any():  # sets with too few others
+                hit, at = hit[need], at[need]
+                turn = np.lexsort((e[hit], order.rank[at], doc[hit]))
+                hit, at = hit[turn], at[turn]
+                d = doc[hit]
+                p = np.arange(len(hit)) - np.searchsorted(d, np.arange(len(size)))[d] + have[d]
+                ok = p < sent[d]
+                hit, at, d, p = hit[ok], at[ok], d[ok], p[ok]
+                many = -(-order.counts[at] // SPLIT)
+                row, pos, x = np.concatenate([row, d]), np.concatenate([pos, p]), np.concatenate([x, e[hit]])
+                parts_ = np.concatenate([parts_, ((mix(own[d]) >> U(8)).astype(np.int64) % many).astype(np.int32)])
+                wide = np.concatenate([wide, many > 1])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([_longs(x), pa.array(parts_), pa.array(wide), _longs(own[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "part", "wide", "set", "size", "pos"])
+
+    return docs.select("text").mapInArrow(run, POSTING)
+
+
+def subsets(sets: DataFrame, rule: Rule, bound: int) -> DataFrame:
     """key, set, size and even of each subset that a light set lists; key: of the subset and the two sizes of its use; even: these are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, size, doc, e in _each(batches, k):
-            value, first, rows = mix(e + U(1)), np.cumsum(size) - size, []
-            for i in np.flatnonzero((size > 0) & (size <= bound)):
-                mine, s = [int(x) for x in value[first[i] : first[i] + size[i]]], int(size[i])
+        for b in batches:
+            rows = []
+            for name, few in zip(b.column("set").to_pylist(), b.column("few"), strict=True):
+                mine = mix(few.values.to_numpy().view(U) + U(1)).tolist()
+                s, whole = len(mine), sum(mine)
                 for t, c in rule.subsets(s, bound):
-                    rows += [((int(own[i]) - sum(gone)) % 2**64, min(s, t) << 32 | max(s, t), own[i], s, s == t) for gone in combinations(mine, s - c)]
+                    rows += [((whole - sum(gone)) % 2**64, min(s, t) << 32 | max(s, t), name, s, s == t) for gone in combinations(mine, s - c)]
+                if len(rows) > 100_000:
+                    yield listed(rows)
+                    rows = []
             if rows:
-                left, use, sets, sizes, even = zip(*rows, strict=True)
-                keys = mix(mix(np.array(left, U)) + np.array(use, U))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.array(sets, U).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(even)], names=["key", "set", "size", "even"])
+                yield listed(rows)
+
+    def listed(rows: list[tuple]) -> pa.RecordBatch:
+        left, use, names, sizes, even = zip(*rows, strict=True)
+        keys = mix(mix(np.array(left, U)) + np.array(use, U))
+        return pa.RecordBatch.from_arrays([_longs(keys), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(even)], names=["key", "set", "size", "even"])
 
-    return docs.select("text").mapInArrow(run, "key long, set long, size int, even boolean")
+    return sets.select("set", "few").mapInArrow(run, "key long, set long, size int, even boolean")
 
 
-def light_links(docs: DataFrame, k: int, rule: Rule, bound: int) -> DataFrame:
-    """a, b: light sets that agree in a subset, each with the least of them.
+def light_links(rows: DataFrame, rule: Rule, bound: int) -> DataFrame:
+    """a, b: light sets that agree in a subset, each with the least of them; rows: from described().
 
     Sets of one key link if its use is of one size, or each with all of the other size.
     """
-    rows = subsets(docs, k, rule, bound).distinct()
-    use = rows.groupBy("key").agg(F.min("set").alias("a"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("even").alias("one")).filter("one or lo < hi")
+    own = rows.filter(f"few is not null and n_shingles between 1 and {bound}").select("set", "few").dropDuplicates(["set"])
+    rows = subsets(own, rule, bound).distinct()
+    use = rows.groupBy("key").agg(F.min("set").alias("a"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("even").alias("one"), F.count("*").alias("n")).filter("n > 1 and (one or lo < hi)")
     return rows.join(use.select("key", "a"), "key").filter("a <> set").select("a", F.col("set").alias("b")).distinct()
 
 
 def chosen_bound(sizes: dict[int, int], rule: Rule) -> int:
-    """The size up to which listing subsets costs fewer rows than lists do; sizes: how many sets have each size."""
-    best = 0
-    for bound in range(1, MAX_BOUND + 1):
-        light = sum(n * sum(comb(s, c) for _, c in rule.subsets(s, bound)) for s, n in sizes.items() if s <= bound)
-        lists = sum(n * int(rule.sent(np.int64(s)) + rule.most_missing(s) + 1) for s, n in sizes.items() if s <= bound)
+    """The size up to which listing subsets costs no more rows than lists do; sizes: how many sets have each size."""
+    best = light = lists = 0
+    for s in range(1, CARRIED + 1):
+        lists += sizes.get(s, 0) * int(rule.sent(s))
+        light = sum(n * sum(comb(x, c) for _, c in rule.subsets(x, s)) for x, n in sizes.items() if x <= s)
         if light <= lists:
-            best = bound
+            best = s
     return best
 
 
-def left_sets(docs: DataFrame, k: int, rule: Rule, met: DataFrame) -> DataFrame:
-    """set, size and elements (in the global order) of the sets named in met; a bitmap of bounded size finds them in a second scan."""
-    words = met.select(F.expr(f"shiftright(set & {(1 << FILTER_BITS) - 1}L, 6)").alias("word"), F.expr("shiftleft(1L, cast(set & 63L as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    wanted = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value.view(U)
-        for own, size, _, e in _each(batches, k):
-            cell = (own & U((1 << FILTER_BITS) - 1)).astype(np.int64)
-            hit = np.flatnonzero((size > 0) & ((bits[cell >> 6] >> (cell & 63).astype(U)) & U(1) == 1))
-            first = np.cumsum(size) - size
-            if len(hit):
-                at = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in hit])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[hit])]), pa.int32()), pa.array(e[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64)), pa.array(size[hit].astype(np.int32)), lists], names=["set", "size", "elements"])
-
-    found = docs.select("text").mapInArrow(run, "set long, size int, elements array<long>")
-    return found.join(met.select("set"), "set", "left_semi").dropDuplicates(["set"])
-
-
-def _parities(e: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each set a bitmap of the parities of its shingles' cells."""
-    h = mix(e ^ U(0x5851F42D4C957F2D))
-    bits = np.zeros((len(first), PARITY_BITS), np.uint8)
-    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(e))))
-    np.bitwise_xor.at(bits, (row, (h & U(PARITY_BITS - 1)).astype(np.int64)), 1)
-    return np.packbits(bits, axis=1)
-
-
-def postings_of(sets: DataFrame, rule: Rule) -> DataFrame:
-    """key, set, size, front and bits of the shingles that each set sends to the lists; larger sets have no bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                b = whole.slice(at, 100)
-                size = b.column("size").to_numpy().astype(np.int64)
-                e = b.column("elements").flatten().to_numpy().view(U)
-                first = np.cumsum(size) - size
-                bits = _parities(e, first)
-                bits[size > BITMAP_SIZE] = 0
-                many = rule.sent(size)
-                row = np.repeat(np.arange(len(size)), many)
-                rank = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(e[first[row] + rank].view(np.int64)), b.column("set").take(pa.array(row)), b.column("size").take(pa.array(row)), pa.array(rank < rule.front(size)[row]), pa.array([x.tobytes() for x in bits], pa.binary()).take(pa.array(row))],
-                    names=["key", "set", "size", "front", "bits"],
-                )
-
-    return sets.select("set", "size", "elements").mapInArrow(run, "key long, set long, size int, front boolean, bits binary")
-
-
-class _List:
-    """Members of one inverted list, or of a part of it."""
-
-    def __init__(self, rule: Rule, bound: int, sets: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
-        self.rule, self.bound, self.sets, self.sizes, self.bits = rule, bound, sets, sizes.astype(np.int64), bits
-
-    def may(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Which of the others the i-th may link with."""
-        s, t = self.sizes[i], self.sizes[others]
-        need = self.rule.overlap(s, t)
-        apart = np.where((t > BITMAP_SIZE) | (s > BITMAP_SIZE), 0, np.bitwise_count(self.bits[i] ^ self.bits[others]).sum(1))
-        return (need <= np.minimum(s, t)) & (apart <= s + t - 2 * need) & (np.maximum(s, t) > self.bound) & (self.sets[others] != self.sets[i])
-
-    def stars(self) -> list[tuple[int, int]]:
-        """Pairs of a leader and another that it may link with; those of no leader lead in turn, some of them."""
-        out, rest = [], np.arange(len(self.sets))
-        for _ in range(LEADERS):
-            if len(rest) < 2:
-                break
-            own = rest[1:]
-            hit = self.may(rest[0], own)
-            out += [(int(self.sets[rest[0]]), int(x)) for x in self.sets[own[hit]]]
-            rest = own[~hit]
-        return out
-
-
-def _columns(rows: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
-    t = pa.Table.from_batches(rows)
-    return [t.column(n).to_numpy() for n in names]
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str], most: int, always: str | None = None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Runs of rows that agree in the keys: whether it goes on from a run cut before, and its columns.
 
+    A run is cut after most rows. Runs of one row are left out, unless they go on or always is true in them.
+    """
+    held: list[list[np.ndarray]] = []
+    n, again, last = 0, False, None
 
-def _bits(column: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(column), U).reshape(len(column), -1)
+    def out() -> tuple[bool, list[np.ndarray]]:
+        return again, [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*held, strict=True)]
 
+    def wanted() -> bool:
+        return n > 1 or n == 1 and (again or always is not None and bool(held[0][names.index(always)][0]))
 
-def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of rows that agree in the keys, cut after most rows."""
-    held: list[pa.RecordBatch] = []
-    last, n = None, 0
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(k).to_numpy() for k in keys]
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        own = [cols[names.index(c)] for c in keys]
         new = np.zeros(b.num_rows, bool)
-        for c in cols:
+        for c in own:
             new[1:] |= c[1:] != c[:-1]
-        new[0] = tuple(int(c[0]) for c in cols) != last
-        edges = [0, *(int(x) for x in np.flatnonzero(new) if x), b.num_rows]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            if new[lo] and held:
-                yield held
-                held, n = [], 0
+        new[0] = tuple(int(c[0]) for c in own) != last
+        last = tuple(int(c[-1]) for c in own)
+        edges = np.append(np.flatnonzero(new), b.num_rows)
+        if edges[0]:  # the rest of the run before
+            edges = np.insert(edges, 0, 0)
+        # most runs are of one row, and of no use; the first and the last may go on in other batches
+        keep = np.diff(edges) > 1
+        if always is not None:
+            keep |= cols[names.index(always)][edges[:-1]].astype(bool)
+        keep[[0, -1]] = True
+        for at in np.flatnonzero(keep).tolist():
+            lo, hi = int(edges[at]), int(edges[at + 1])
+            if new[lo]:
+                if wanted():
+                    yield out()
+                held, n, again = [], 0, False
             while lo < hi:
                 step = min(hi - lo, most - n)
-                held.append(b.slice(lo, step))
+                held.append([c[lo : lo + step] for c in cols])
                 lo, n = lo + step, n + step
                 if n == most:
-                    yield held
-                    held, n = [], 0
-        last = tuple(int(c[-1]) for c in cols)
-    if held:
-        yield held
+                    yield out()
+                    held, n, again = [], 0, True
+    if wanted():
+        yield out()
 
 
-PAIR = "a long, b long"
+def _may(rule: Rule, bound: int, s, t, p, q) -> np.ndarray:
+    """Whether sets of s and t, not both light, that meet in their p-th and q-th shingles may link."""
+    need = rule.overlap(s, t)
+    return (np.minimum(s - p, t - q) + np.minimum(p, q) >= need) & (need <= np.minimum(s, t)) & (np.maximum(s, t) > bound)
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a.min(1)), pa.array(a.max(1))], names=["a", "b"])
+PROPOSED = "a long, b long, key long, size int, pos int"
 
 
-def star_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
-    """a, b of the stars that the lists propose; postings: key, set, size, bits."""
-    order = ["key", "size", "set"]
-    dealt = postings.repartitionByRange(parts(postings), *order).sortWithinPartitions(*order)
+def proposed(lists: DataFrame, rule: Rule, bound: int) -> DataFrame:
+    """a, b of the pairs that lists propose; and, with b null, the members a of long lists, with key, size and pos."""
+    keys = ["key", "part"]
+    dealt = lists.repartition(parts(lists), *keys).sortWithinPartitions(*keys, "size", "set")
+
+    def stars(sets: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A leader with the others that it may link with; those of no leader lead in turn, some of them."""
+        a, b, rest = [], [], np.arange(len(sets))
+        for _ in range(LEADERS):
+            if len(rest) < 2:
+                break
+            i, rest = rest[0], rest[1:]
+            hit = _may(rule, bound, size[i], size[rest], pos[i], pos[rest])
+            a.append(np.full(hit.sum(), sets[i]))
+            b.append(sets[rest[hit]])
+            rest = rest[~hit]
+        return np.concatenate(a), np.concatenate(b)
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        two = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        none = pa.nulls(len(two), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.nulls(len(two), pa.int64()), none, none], names=["a", "b", "key", "size", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for rows in _by_group(batches, ["key"], 4 * BLOCK):
-            if sum(r.num_rows for r in rows) > 1:
-                sets, sizes, bits = _columns(rows, "set", "size", "bits")
-                found += _List(rule, bound, sets, sizes, _bits(bits)).stars()
-            if len(found) > 10_000:
-                yield _pairs(list(dict.fromkeys(found)))
-                found = []
-        if found:
-            yield _pairs(list(dict.fromkeys(found)))
-
-    return dealt.mapInArrow(run, PAIR).distinct()
-
-
-def _counted(rows: Iterator[list[pa.RecordBatch]], rule: Rule, bound: int) -> Iterator[pa.RecordBatch]:
-    """a, b, n and need: in how many lists a pair meets in the front of its smaller set a, and how many a link needs."""
-    counts: dict[tuple[int, int], list[int]] = {}
-
-    def out() -> pa.RecordBatch:
-        a, b = np.array(list(counts), np.int64).reshape(-1, 2).T
-        n, need = np.array(list(counts.values()), np.int64).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(need)], names=["a", "b", "n", "need"])
-
-    for group in rows:
-        sets, sizes, fronts_, bits = _columns(group, "set", "size", "front", "bits")
-        names = group[0].schema.names
-        roots = _columns(group, "root")[0] if "root" in names else None
-        side = _columns(group, "_b")[0] if "_pair" in names else None
-        own = _List(rule, bound, sets, sizes, _bits(bits))
-        enough = rule.front(own.sizes) - rule.most_missing(own.sizes)
-        for i in np.flatnonzero(fronts_[:-1]):
-            others = np.arange(i + 1, len(sets)) if roots is None else i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
-            if side is not None:
-                others = others[side[others] != side[i]]
-            for x in sets[others[own.may(i, others)]] if len(others) else ():
-                counts.setdefault((int(sets[i]), int(x)), [0, int(enough[i])])[0] += 1
-        if len(counts) > 100_000:
-            yield out()
-            counts.clear()
-    if counts:
-        yield out()
+        a, b, held = [], [], 0
+        for again, (key, _, wide, sets, size, pos) in _groups(batches, keys, ["key", "part", "wide", "set", "size", "pos"], BLOCK, "wide"):
+            new = np.ones(len(sets), bool)  # tasks that met a set send it each
+            new[1:] = sets[1:] != sets[:-1]
+            key, sets, size, pos = key[new], sets[new], size[new].astype(np.int64), pos[new].astype(np.int64)
+            if again or len(sets) > SHORT or wide[0]:
+                if len(sets) > 1:
+                    x, y = stars(sets, size, pos)
+                    a.append(x)
+                    b.append(y)
+                    held += len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(sets), pa.nulls(len(sets), pa.int64()), pa.array(key), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["a", "b", "key", "size", "pos"])
+            elif len(sets) > 1:
+                i, j = np.triu_indices(len(sets), 1)
+                ok = _may(rule, bound, size[i], size[j], pos[i], pos[j])
+                if ok.any():
+                    a.append(sets[i[ok]])
+                    b.append(sets[j[ok]])
+                    held += int(ok.sum())
+            if held > 200_000:
+                yield pairs(np.concatenate(a), np.concatenate(b))
+                a, b, held = [], [], 0
+        if held:
+            yield pairs(np.concatenate(a), np.concatenate(b))
+
+    return dealt.mapInArrow(run, PROPOSED)
+
+
+def _parities(e: np.ndarray) -> bytes:
+    """A bitmap of the parities of a set's cells, of about as many bits as shingles; of twice the bits, one folds into the other."""
+    bits = 1 << max(6, int(len(e) - 1).bit_length())
+    odd = np.bincount((mix(e ^ U(0x5851F42D4C957F2D)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class _Bitmaps:
+    """Bitmaps of several widths, as one matrix for each width."""
+
+    def __init__(self, bitmaps: np.ndarray):
+        self.width = np.array([len(x) for x in bitmaps])
+        self.place = np.zeros(len(bitmaps), np.int64)
+        self.rows = {}
+        for n in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == n)
+            self.place[own] = np.arange(len(own))
+            self.rows[n] = np.frombuffer(b"".join(bitmaps[i] for i in own), U).reshape(-1, n // 8)
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits the i-th differs from others, the wider folded to the narrower."""
+        out = np.zeros(len(others), np.int64)
+        for n, rows in self.rows.items():
+            same = np.flatnonzero(self.width[others] == n)
+            if len(same):
+                x, y = rows[self.place[others[same]]], self.rows[int(self.width[i])][self.place[i]][None]
+                out[same] = np.bitwise_count(_folded(x, y.shape[1]) ^ _folded(y, x.shape[1])).sum(1)
+        return out
 
 
-COUNTED = "a long, b long, n long, need long"
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
 
 
-def short_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
-    """a, b, n and need of the pairs of lists of at most SHORT members."""
-    dealt = postings.repartition(parts(postings), "key").sortWithinPartitions("key", "size", "set")
-    return dealt.mapInArrow(lambda batches: _counted(_by_group(batches, ["key"], SHORT + 1), rule, bound), COUNTED).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+def whole_sets(docs: DataFrame, k: int, met: DataFrame) -> DataFrame:
+    """set, size, bits and elements of the sets named in met; a bitmap of bounded size finds them in a second scan."""
+    many = met.count()
+    width = min(MAX_FILTER_BITS, max(12, (FILTER_RATE * many).bit_length()))
+    cell = f"shiftrightunsigned(set, {64 - width})"
+    words = met.select(F.expr(f"{cell} div 64").alias("word"), F.expr(f"shiftleft(1L, cast({cell} % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (width - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    wanted = docs.sparkSession.sparkContext.broadcast(table)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value.view(U)
+        for _, own, size, fresh, doc, e in _each(batches, k):
+            at = (own >> U(64 - width)).astype(np.int64)
+            hit = fresh & ((bits[at >> 6] >> (at & 63).astype(U)) & U(1) == 1)
+            x = e[hit[doc]]
+            end = np.cumsum(size[hit])
+            if len(end):
+                maps = [_parities(y) for y in np.split(x, end[:-1])]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), _longs(x))
+                yield pa.RecordBatch.from_arrays([_longs(own[hit]), pa.array(size[hit].astype(np.int32)), pa.array(maps, pa.binary()), lists], names=["set", "size", "bits", "elements"])
 
-def all_pairs(postings: DataFrame, rule: Rule, bound: int) -> DataFrame:
-    """a, b, n and need of the pairs of different components in the lists; postings have a root.
+    found = docs.select("text").mapInArrow(run, "set long, size int, bits binary, elements array<long>")
+    return found.join(met, "set", "left_semi").dropDuplicates(["set"])
 
-    A list is cut into blocks, and each two of its blocks go to one task, whose
-    pairs it alone tells: those of one block by the task of that block with itself.
-    """
-    placed = ranked(postings.withColumn("_list", F.col("key").cast("string")), "_list", ["size", "set"])
-    blocks = placed.withColumn("_b", F.expr(f"rank div {BLOCK}")).withColumn("_n", F.expr(f"(group_rows + {BLOCK - 1}) div {BLOCK}"))
-    two = blocks.withColumn("_c", F.explode(F.expr("sequence(0L, _n - 1)"))).select("key", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), "_b", "set", "size", "front", "bits", "root")
-    keys = ["key", "_lo", "_hi"]
-    dealt = two.repartition(parts(two), *keys).sortWithinPartitions(*keys, "size", "set")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-        for rows in _by_group(batches, keys, 2 * BLOCK + 1):
-            lo, hi = rows[0].column("_lo")[0].as_py(), rows[0].column("_hi")[0].as_py()
-            if lo == hi:
-                yield rows
-            else:
-                yield [r.append_column("_pair", pa.array([True] * r.num_rows)) for r in rows]
+def near(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that bitmaps do not rule out."""
+    one = sets.select(F.col("set").alias("a"), F.col("size").alias("_s"), F.col("bits").alias("_x"))
+    two = sets.select(F.col("set").alias("b"), F.col("size").alias("_t"), F.col("bits").alias("_y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(groups(batches), rule, bound)
+        for b in batches:
+            s, t = (b.column(c).to_numpy().astype(np.int64) for c in ("_s", "_t"))
+            two = [[np.frombuffer(x, U)[None] for x in b.column(c).to_pylist()] for c in ("_x", "_y")]
+            apart = np.array([np.bitwise_count(_folded(x, y.shape[1]) ^ _folded(y, x.shape[1])).sum() for x, y in zip(*two, strict=True)], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(apart <= s + t - 2 * rule.overlap(s, t)))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_s", "_t", "_x", "_y").mapInArrow(run, PAIR)
 
-    return dealt.mapInArrow(run, COUNTED)
+
+PAIR = "a long, b long"
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -403,55 +474,98 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(100 * both >= rule.percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with the root of their set's component."""
-    return rows.join(components(links).select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-
-
-def heavy_links(docs: DataFrame, k: int, rule: Rule, bound: int, links: DataFrame) -> DataFrame:
-    """Links of heavy sets, as pairs of sets; links: of light sets. Enough of them for the components."""
-    front = shared(fronts(docs, k, rule, bound), odd=True).distinct()
-    counts = front.groupBy("text").agg(F.count("*").alias("n"), F.max(F.expr("pos div 2")).alias("size"))
-    missing = F.expr(f"size - (size * {rule.percent} + 99) div 100")
-    enough = F.least(F.col("size"), F.floor(missing * 5 / 4) + 2) - missing
-    met = cut(counts.filter(F.col("n") >= enough).select(F.col("text").alias("set")))
-    sets = cut(left_sets(docs, k, rule, met))
-    postings = postings_of(sets, rule)
-    lists = postings.groupBy("key").agg(F.count("*").alias("_members"), F.bool_or("front").alias("_any")).filter("_members > 1 and _any").drop("_any")
-    postings = cut(postings.join(lists, "key"))
-    # a pair that links meets often enough: in short lists alone, or in a long one too
-    short, long = cut(short_pairs(postings.filter(f"_members <= {SHORT}"), rule, bound)), postings.filter(f"_members > {SHORT}").drop("_members")
-    often = short.filter("n >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = cut(links.unionByName(verified(often.unionByName(star_pairs(long, rule, bound)).distinct(), sets, rule)).distinct())
-    for last in [False] * (ROUNDS - 1) + [True]:
-        rooted = _rooted(long, links)
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key")
-        long = cut(rooted.join(mixed, "key", "left_semi"))
-        if last:
-            break
-        # one member of each component in each list
-        heads = long.groupBy("key", "root").agg(F.min(F.struct("set", "size", "bits")).alias("m")).select("key", "m.set", "m.size", "m.bits")
-        more = verified(star_pairs(heads, rule, bound).join(links, ["a", "b"], "left_anti"), sets, rule)
-        links, long = cut(links.unionByName(more).distinct()), long.drop("root")
-    both = all_pairs(long, rule, bound).unionByName(short).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
-    rest = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(links, ["a", "b"], "left_anti")
-    return links.unionByName(verified(rest, sets, rule))
-
-
-def _found(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """set, _id (its least doc_id) and root of each set; rows: from described()."""
+def between(members: DataFrame, rule: Rule, bound: int, best: bool) -> DataFrame:
+    """a, b, ra and rb: pairs of members of one list, of different components, that bitmaps do not rule out; best: only the most alike of each two components in a block.
+
+    members: key, set, size, pos, bits and root. A list is cut into blocks, and each
+    two of its blocks go to one task, whose pairs it alone tells: those of one block
+    by the task of that block with itself.
+    """
+    lists = members.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).filter("_low <> _high")
+    blocks = members.join(lists.select("key", F.expr(f"(_n + {BLOCK - 1}) div {BLOCK}").alias("_n")), "key").withColumn("_b", F.expr("pmod(xxhash64(set), _n)"))
+    two = blocks.withColumn("_c", F.explode(F.expr("sequence(0L, _n - 1)")))
+    two = two.select("key", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), "_b", "set", "size", "pos", "bits", "root")
+    keys = ["key", "_lo", "_hi"]
+    dealt = two.repartition(parts(two), *keys).sortWithinPartitions(*keys, "size", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, lo, hi, block, sets, size, pos, bits, root) in _groups(batches, keys, [*keys, "_b", "set", "size", "pos", "bits", "root"], 1 << 62):
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
+            maps = _Bitmaps(bits)
+            found: dict[tuple[int, int], tuple[int, int, int]] = {}
+            out: list[tuple[int, int, int, int]] = []
+            for i in range(len(sets) - 1):
+                j = np.arange(i + 1, len(sets))
+                j = j[(root[j] != root[i]) & _may(rule, bound, size[i], size[j], pos[i], pos[j])]
+                if lo[0] != hi[0]:
+                    j = j[block[j] != block[i]]
+                if not len(j):
+                    continue
+                apart = maps.apart(i, j)
+                ok = apart <= size[i] + size[j] - 2 * rule.overlap(size[i], size[j])
+                for x, n in zip(j[ok].tolist(), apart[ok].tolist(), strict=True):
+                    a, b = (i, x) if sets[i] < sets[x] else (x, i)
+                    if best:
+                        two = (min(int(root[i]), int(root[x])), max(int(root[i]), int(root[x])))
+                        found[two] = min(found.get(two, (1 << 62, 0, 0)), (n, a, b))
+                    else:
+                        out.append((int(sets[a]), int(sets[b]), int(root[a]), int(root[b])))
+                if len(out) > 100_000:
+                    yield told(out)
+                    out = []
+            out += [(int(sets[a]), int(sets[b]), int(root[a]), int(root[b])) for _, a, b in found.values()]
+            if out:
+                yield told(out)
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "ra", "rb"])
+
+    return dealt.mapInArrow(run, "a long, b long, ra long, rb long").distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, name: str = "set") -> DataFrame:
+    """rows with the root of their set's component; roots: node and root."""
+    return rows.join(roots.select(F.col("node").alias(name), F.col("root").alias("_root")), name, "left").withColumn("root", F.coalesce("_root", name)).drop("_root")
+
+
+def component_roots(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """node and root of the sets that link with others; rows: from described()."""
     rule = Rule(percent)
-    classes = cut(rows.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n")))
-    sizes = {r["n"]: r["count"] for r in classes.filter(f"n <= {MAX_BOUND}").groupBy("n").count().collect()}
+    sizes = {r["n_shingles"]: r["n"] for r in rows.filter(f"n_shingles between 1 and {CARRIED}").groupBy("n_shingles").agg(F.approx_count_distinct("set").alias("n")).collect()}
     bound = chosen_bound(sizes, rule)
-    links = cut(light_links(docs, k, rule, bound)) if bound else docs.sparkSession.createDataFrame([], PAIR)
-    return _rooted(classes, cut(heavy_links(docs, k, rule, bound, links)))
+    found = cut(proposed(postings(docs, k, rule, bound, often_of(rows)), rule, bound))
+    pairs = found.filter("b is not null").select("a", "b").distinct()
+    long = found.filter("b is null").select("key", F.col("a").alias("set"), "size", "pos")
+    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(long.select("set")).distinct())
+    sets = cut(whole_sets(docs, k, met))
+    links = verified(cut(near(pairs, sets, rule)), sets, rule)
+    if bound:
+        links = links.unionByName(light_links(rows, rule, bound))
+    roots = components(links)
+    if long.isEmpty():
+        return roots
+    long = long.join(sets.select("set", "bits"), "set")
+    for best in (True, False):
+        more = cut(between(_rooted(long, roots), rule, bound, best))
+        if more.isEmpty():
+            if not best:
+                break
+            continue
+        ok = verified(more.select("a", "b").distinct(), sets, rule)
+        fresh = components(more.join(ok, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        # nodes that were roots of nothing but themselves are new
+        known = _rooted(roots.select("node", F.col("root").alias("_old")), fresh, "_old").select("node", "root")
+        roots = cut(known.unionByName(fresh.join(roots.select("node"), "node", "left_anti").select("node", "root")))
+    return roots
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; component_id: the least doc_id that links reach."""
-    rows = cut(described(docs, k))
-    found = _found(rows, docs, k, percent)
+    described_ = cut(described(docs, k))
+    roots = component_roots(described_, docs, k, percent)
+    rows = described_.filter("n_shingles >= 0").select("doc_id", "set", "n_shingles")
+    classes = rows.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("_id"))
+    found = _rooted(classes, roots)
     least = found.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = found.join(least, "root").select("set", "component_id")
     return rows.join(named, "set", "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -459,17 +573,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def distinct_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, with all its columns: one of its least doc_id. Rows without shingles all stay."""
-    names = docs.columns
-    tag, key = "_set_of_row", "_key_of_row"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            _, e, size = elements(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(identities(e, size).view(np.int64), mask=size == 0)], names=[*b.schema.names, tag])
-
-    tagged = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(tag, T.LongType())]))
-    found = _found(cut(described(docs, k)), docs, k, percent)
-    # rows go by set and doc_id, so that the copies of one text are dealt over many tasks
-    stay = found.groupBy("root").agg(F.min(F.struct("_id", "set")).alias("m")).select(F.col("m.set").alias(tag), F.coalesce(F.col("m._id").cast("string"), F.lit("")).alias(key))
-    own = tagged.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return own.filter(F.col(tag).isNotNull()).join(stay, [tag, key], "left_semi").dropDuplicates([tag, key]).select(*names).unionByName(own.filter(F.col(tag).isNull()).select(*names))
+    described_ = cut(described(docs, k))
+    roots = component_roots(described_, docs, k, percent)
+    rows = described_.filter("set is not null and n_shingles > 0")
+    # of equal ranks: rows with an id before those without
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text"))
+    first = _rooted(rows.groupBy("set").agg(F.min(name).alias("m")), roots).groupBy("root").agg(F.min("m").alias("m"))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # rows go by text and doc_id, so that the copies of one text are dealt over many tasks
+    stay = first.select(key("m.id").alias("_key"), F.col("m.text").alias("_text"))
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("_row")
+    own = docs.filter(f"not {BLANK}").select(whole, key("doc_id").alias("_key"), F.xxhash64("text").alias("_text"))
+    kept = own.join(stay, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select("_row.*")
+    return kept.unionByName(docs.filter(BLANK))

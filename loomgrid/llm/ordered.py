@@ -9,6 +9,7 @@ carry them over are joined back.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,37 +21,28 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own if all is on one machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="loomgrid-")
+        if found.isDefined():
+            return found.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="loomgrid-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from files all executors share.
-
-    A checkpoint's rows are neither packed nor compressed; here each batch is one
-    row of it, in Arrow's compressed form.
-    """
-    shared_dir(df.sparkSession)
-
-    def pack(batches):
-        for batch in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
-
-    def unpack(batches):
-        for batch in batches:
-            for one in batch.column(0):
-                yield from pa.ipc.open_stream(one.as_buffer())
-
-    return df.mapInArrow(pack, "packed binary").checkpoint().mapInArrow(unpack, df.schema)
+    """The same rows, read back from a table in the folder all executors share; it goes when the driver ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/loomgrid-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def parts(df: DataFrame) -> int:

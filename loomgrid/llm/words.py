@@ -1,17 +1,23 @@
 """Vectorised word arithmetic over Arrow text columns.
 
 A word is a maximal run of bytes other than space and the controls 0x09-0x0D.
-The UTF-8 buffer of a whole Arrow batch is handled at once: a polynomial prefix
-sum over its bytes gives the hash of any byte range in constant time, and the
-same trick over word hashes gives the hash of any window of words. All sums
-wrap modulo 2**64; the base is odd, so its inverse exists and a range's hash
-does not depend on where the range starts. A final mixing step spreads bits.
+The UTF-8 buffer of a whole Arrow batch is handled at once: words are hashed eight
+bytes at a time, windows of a few words by Horner's rule over word hashes, longer
+ones by a polynomial prefix sum, which gives the hash of any range in constant
+time. All sums wrap modulo 2**64; the base is odd, so its inverse exists and a
+range's hash does not depend on where the range starts. A final step spreads bits.
+
+Results that name words, shingles or windows as equal compare these 64-bit hashes
+and not the words again. Two different ones agree by chance once in 2**64; prefix
+sums modulo 2**64 can be made to agree on purpose, but only over ranges of more
+than a thousand items, and ranges here are windows of at most a few dozen words,
+or lines of text (quality statistics) and the bytes of a word after its first LONG.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +25,12 @@ import pyarrow as pa
 U = np.uint64
 BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 CHUNK = 1 << 18
-
-_SEP = np.zeros(256, bool)
-_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
+#: Windows of at most so many words are hashed without prefix sums.
+DIRECT = 8
+#: Bytes of a word that are hashed one step after another.
+LONG = 512
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
@@ -35,7 +41,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U))
+def _separators(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | (data - np.uint8(9) <= 4)
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
 
 @lru_cache(maxsize=8)
@@ -82,8 +93,8 @@ class Words:
         at = np.frombuffer(buf[1], np.int64 if wide else np.int32, n + 1, texts.offset * size).astype(np.int64) if n else np.zeros(1, np.int64)
         data = np.frombuffer(buf[2], np.uint8, at[-1] - at[0], at[0]) if n and buf[2] is not None else np.zeros(0, np.uint8)
         self.raw, self.at, self.n = data, at - at[0], n
-        self.data = data = _LOWER[data] if lower else data
-        inside = ~_SEP[data]
+        self.data = data = _lower(data) if lower else data
+        self.inside = inside = ~_separators(data)
         begin, stop = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         stop[:-1] &= ~inside[1:]
@@ -91,25 +102,55 @@ class Words:
         begin[edge] = inside[edge]
         edge = self.at[1:][self.at[1:] > 0] - 1
         stop[edge] = inside[edge]
-        self.inside = inside
         self.lo, self.hi = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.lo, self.at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
         if hashes:
-            self.sums = prefix(_BYTE[data], BASE)
-            self.hash = ranges(self.sums, self.lo, self.hi, BASE)
+            self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """Hash of each word, eight bytes at a time; only words with more bytes take another step."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        size = self.hi - self.lo
+        out = mix((eight[self.lo] & _KEEP[np.minimum(size, 8)]) + size.astype(U) * U(WORD_BASE))
+        more, step = np.flatnonzero(size > 8), 8
+        while len(more):
+            out[more] = mix((out[more] * U(BASE)) ^ (eight[self.lo[more] + step] & _KEEP[np.minimum(size[more] - step, 8)]))
+            step += 8
+            more = more[size[more] > step]
+            if step >= LONG and len(more):  # the rest of very long words at once
+                out[more] = mix(out[more] ^ ranges(self.sums, self.lo[more] + step, self.hi[more], BASE))
+                break
+        return out
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        """Prefix sums over bytes, for hashes of byte ranges by ranges(sums, lo, hi, BASE)."""
+        return prefix(self.data.astype(U) + U(1), BASE)
 
     def starts(self, k: int) -> np.ndarray:
         """First words of all windows of k words within one document."""
         m = len(self.lo) - k + 1
         return np.flatnonzero(self.doc[:m] == self.doc[k - 1 :]) if m > 0 else np.zeros(0, np.int64)
 
+    @cached_property
+    def word_sums(self) -> np.ndarray:
+        return prefix(self.hash, WORD_BASE)
+
     def windows(self, k: int, at: np.ndarray) -> np.ndarray:
         """Hashes of the windows of k words that start at these words."""
-        if not hasattr(self, "word_sums"):
-            self.word_sums = prefix(self.hash, WORD_BASE)
-        return ranges(self.word_sums, at, at + k, WORD_BASE) + U(k)
+        if k > DIRECT:
+            return ranges(self.word_sums, at, at + k, WORD_BASE) + U(k)
+        m = len(self.hash) - k + 1
+        if m < 1:
+            return np.zeros(0, U)
+        out = self.hash[:m]
+        for j in range(1, k):
+            out = out * U(WORD_BASE) + self.hash[j : m + j]
+        return mix(out if len(at) == m else out[at]) + U(k)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, first word and hash of each shingle of k words; a shorter
