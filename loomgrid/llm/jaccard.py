@@ -8,17 +8,19 @@ needs; equal subsets are links at once. Heavy sets, and light ones that can link
 with them, go through inverted lists, in steps that each lose no link:
 
 1.  Shingles have one global order: those met often in a stretch of the corpus
-    last, by how often, the others first, by hash. A set that links lacks at most a
-    few of its shingles in its partner, so of the two sets' first ones, one more than
-    may be lacking, one must be in both. Each set sends these to the lists. Places in
-    the order bound what two sets can have in common from where they meet, which
-    with their sizes rules most pairs out.
-2.  Short lists propose all pairs that are left. Long ones propose stars: leaders
-    with all others. Of the sets proposed, a second scan reads all shingles. Each has
-    a bitmap of the parities of its shingles, about as many bits as shingles: the
-    bits in which two bitmaps differ are no more than the shingles in which the sets
-    differ. Pairs that pass are verified exactly, and components formed. Near
-    copies, however many, are mostly one component by now.
+    last, by how often, the others first, by hash. A set that links lacks at most m
+    of its shingles in its partner, so of the first 2 m + 1 of each some m + 1 are
+    common to both. All sets send these, packed by ranges of hashes, to be compared;
+    a set too few of whose first shingles are in any other's is done. For most texts
+    that is so, and nothing else of them is ever moved.
+2.  Of the sets that are left a second scan reads all shingles. Their first m + 1 go
+    to inverted lists, with their places in the order, which bound what two sets can
+    have in common from where they meet. Short lists propose all pairs that sizes and
+    places allow, long ones stars: leaders with all others. Each set has a bitmap of
+    the parities of its shingles, about as many bits as shingles: the bits in which
+    two bitmaps differ are no more than the shingles in which the sets differ. Pairs
+    that pass are verified exactly, and components formed. Near copies, however many,
+    are mostly one component by now.
 3.  Long lists that still hold several components propose pairs between these,
     block by block, first the most alike pair of each two components, then, after
     these are verified, all others. Bitmaps come first, then verification.
@@ -55,6 +57,8 @@ U = np.uint64
 SHORT, BLOCK, LEADERS = 64, 1024, 8
 #: Shingles that STRETCH successive ones hold in OFTEN sets come last; at most MAX_OFTEN of them are told apart. A list of more than SPLIT sets is dealt to several tasks.
 STRETCH, OFTEN, MAX_OFTEN, SPLIT = 1 << 21, 4, 1 << 20, 4096
+#: Shingles that a task packs at once, and that one bucket of them is to hold.
+HELD, BUCKET = 1 << 20, 1 << 20
 #: Sets of at most so many shingles are carried along by the first scan, so that the light ones need no other; no cost-chosen boundary comes near.
 CARRIED = 64
 #: Bits of the filter of the second scan for each set it looks for, and at most.
@@ -75,6 +79,15 @@ class Rule:
         """How many first shingles of a set are sent: one more than a partner may lack, as the intersection is at least percent of either set."""
         return s - -(-s * self.percent // 100) + 1
 
+    def front(self, s):
+        """How many first shingles of a set are compared: what a partner may lack, and once more."""
+        return np.minimum(s, 2 * self.sent(s) - 1)
+
+    def met(self, s):
+        """How many of its first shingles a set that links has in common with its partner's, if that is as small as can be."""
+        t = -(-s * self.percent // 100)
+        return self.front(t) - self.sent(t) + 1
+
     def subsets(self, s: int, bound: int) -> list[tuple[int, int]]:
         """Sizes of light partners and the overlap each needs."""
         return [(t, self.overlap(s, t)) for t in range(-(-s * self.percent // 100), min(bound, s * 100 // self.percent) + 1) if self.overlap(s, t) <= min(s, t)]
@@ -185,48 +198,135 @@ def often_of(rows: DataFrame) -> Often:
     return Often(got.column("set").to_numpy().astype(np.int64).view(U), got.column("n").to_numpy().astype(np.int64))
 
 
+def _first(order: Often, many: np.ndarray, doc: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in its order, shingle, and place in `order` or -1, of the first shingles of each set; many: how many of each; e: by hash within a set."""
+    hit, at = order.find(e)
+    last = np.zeros(len(e), bool)
+    last[hit] = True
+    light = np.flatnonzero(~last)
+    row = doc[light]
+    pos = np.arange(len(light)) - np.searchsorted(row, np.arange(len(many)))[row]
+    keep = pos < many[row]
+    have = np.bincount(row, minlength=len(many))
+    row, pos, x = row[keep], pos[keep], e[light[keep]]
+    where = np.full(len(row), -1)
+    need = (have < many)[doc[hit]]
+    if need.any():  # sets with too few others
+        hit, at = hit[need], at[need]
+        turn = np.lexsort((e[hit], order.rank[at], doc[hit]))
+        hit, at = hit[turn], at[turn]
+        d = doc[hit]
+        p = np.arange(len(hit)) - np.searchsorted(d, np.arange(len(many)))[d] + have[d]
+        ok = p < many[d]
+        row, pos, x, where = np.concatenate([row, d[ok]]), np.concatenate([pos, p[ok]]), np.concatenate([x, e[hit[ok]]]), np.concatenate([where, at[ok]])
+    return row, pos, x, where
+
+
+def fronts(docs: DataFrame, k: int, rule: Rule, bound: int, often: Often, buckets: int) -> DataFrame:
+    """bucket and packed (shingles, then sets) of the first shingles of each set; and, with packed null, set and n: how many of a set's first shingles are among those met often."""
+    least = -(-(bound + 1) * rule.percent // 100)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, names = shared.value, ["bucket", "packed", "set", "n"]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            x, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            turn = np.argsort(x)
+            x, own = x[turn], own[turn]
+            at = ((x >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            edges = np.append(np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])), len(x)).tolist()
+            blobs = [x[i:j].tobytes() + own[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.int64())], names=names)
+
+        for _, own, size, fresh, doc, e in _each(batches, k):
+            row, _, x, at = _first(order, np.where(fresh & (size >= least), rule.front(size), 0), doc, e)
+            known = np.bincount(row[at >= 0], minlength=len(own))
+            some = np.flatnonzero(known)
+            if len(some):
+                # these are in other sets, as they are met often
+                yield pa.RecordBatch.from_arrays([pa.array((own[some] & U(0xFFFF)).astype(np.int32)), pa.nulls(len(some), pa.binary()), _longs(own[some]), _longs(known[some])], names=names)
+            if len(x):
+                held.append((x[at < 0], own[row[at < 0]]))
+            if sum(len(x) for x, _ in held) >= HELD:
+                yield packed()
+        if sum(len(x) for x, _ in held):
+            yield packed()
+
+    return docs.select("text").mapInArrow(run, "bucket int, packed binary, set long, n long")
+
+
+def met_sets(docs: DataFrame, rows: DataFrame, k: int, rule: Rule, bound: int, often: Often) -> DataFrame:
+    """The sets enough of whose first shingles are in other sets' for a link; rows: from described()."""
+    total = rows.filter("n_shingles > 0").agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = min(1 << 30, max(parts(rows), 2 * (100 - rule.percent) * total // 100 // BUCKET + 1))
+    sent = fronts(docs, k, rule, bound, often, buckets)
+    dealt = sent.repartition(parts(sent), "bucket").sortWithinPartitions("bucket")
+
+    def shared(blobs: list[bytes]) -> pa.RecordBatch:
+        arrays = [np.frombuffer(x, U) for x in blobs]
+        x, own = (np.concatenate([a.reshape(2, -1)[i] for a in arrays]) for i in (0, 1))
+        turn = np.argsort(x, kind="stable")
+        x, own = x[turn], own[turn]
+        start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        many = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+        keep = np.repeat(many, np.diff(np.append(start, len(x))))
+        x, own = x[keep], own[keep]
+        turn = np.lexsort((x, own))  # tasks that met a set send it each
+        x, own = x[turn], own[turn]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (own[1:] != own[:-1])
+        sets, n = np.unique(own[new], return_counts=True)
+        return pa.RecordBatch.from_arrays([_longs(sets), _longs(n), _longs(np.zeros(len(n), np.int64))], names=["set", "n", "often"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        last = None
+        for b in batches:
+            known = b.filter(b.column("packed").is_null())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column("set"), _longs(np.zeros(known.num_rows, np.int64)), known.column("n")], names=["set", "n", "often"])
+            b = b.filter(b.column("packed").is_valid())
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("packed"), strict=True):
+                if bucket != last and held:
+                    yield shared(held)
+                    held = []
+                held.append(blob.as_py())
+                last = bucket
+        if held:
+            yield shared(held)
+
+    counts = dealt.mapInArrow(run, "set long, n long, often long").groupBy("set").agg((F.sum("n") + F.max("often")).alias("n"))
+    sizes = rows.filter("set is not null and n_shingles > 0").groupBy("set").agg(F.max("n_shingles").alias("s"))
+    least = f"(s * {rule.percent} + 99) div 100"
+    spare = f"({least}) * {100 - rule.percent} div 100"  # what a partner of that size may lack
+    return counts.join(sizes, "set").filter(f"n >= least({least}, 2 * ({spare}) + 1) - ({spare})").select("set")
+
+
 POSTING = "key long, part int, wide boolean, set long, size int, pos int"
 
 
-def postings(docs: DataFrame, k: int, rule: Rule, bound: int, often: Often) -> DataFrame:
+def postings(sets: DataFrame, rule: Rule, often: Often) -> DataFrame:
     """key, part, wide, set, size and pos of the shingles that each set sends; pos: the place in its order.
 
     A list that is known to be large (wide) is dealt into parts by set.
     """
-    least = -(-(bound + 1) * rule.percent // 100)
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for _, own, size, fresh, doc, e in _each(batches, k):
-            sent = np.where(fresh & (size >= least), rule.sent(size), 0)
-            hit, at = order.find(e)
-            last = np.zeros(len(e), bool)
-            last[hit] = True
-            light = np.flatnonzero(~last)
-            own_light = doc[light]
-            pos = np.arange(len(light)) - np.searchsorted(own_light, np.arange(len(size)))[own_light]
-            keep = pos < sent[own_light]
-            row, pos, x = own_light[keep], pos[keep], e[light[keep]]
-            parts_, wide = np.zeros(len(row), np.int32), np.zeros(len(row), bool)
-            have = np.bincount(own_light, minlength=len(size))
-            need = (have < sent)[doc[hit]]
-            if need.any():  # sets with too few others
-                hit, at = hit[need], at[need]
-                turn = np.lexsort((e[hit], order.rank[at], doc[hit]))
-                hit, at = hit[turn], at[turn]
-                d = doc[hit]
-                p = np.arange(len(hit)) - np.searchsorted(d, np.arange(len(size)))[d] + have[d]
-                ok = p < sent[d]
-                hit, at, d, p = hit[ok], at[ok], d[ok], p[ok]
-                many = -(-order.counts[at] // SPLIT)
-                row, pos, x = np.concatenate([row, d]), np.concatenate([pos, p]), np.concatenate([x, e[hit]])
-                parts_ = np.concatenate([parts_, ((mix(own[d]) >> U(8)).astype(np.int64) % many).astype(np.int32)])
-                wide = np.concatenate([wide, many > 1])
-            if len(row):
-                yield pa.RecordBatch.from_arrays([_longs(x), pa.array(parts_), pa.array(wide), _longs(own[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "part", "wide", "set", "size", "pos"])
-
-    return docs.select("text").mapInArrow(run, POSTING)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                own, size = b.column("set").to_numpy().view(U), b.column("size").to_numpy().astype(np.int64)
+                row, pos, x, at = _first(order, rule.sent(size), np.repeat(np.arange(len(size)), size), b.column("elements").flatten().to_numpy().view(U))
+                many = np.where(at >= 0, -(-order.counts[at] // SPLIT), 1) if len(order.counts) else np.ones(len(at), np.int64)
+                part = ((mix(own[row]) >> U(8)).astype(np.int64) % many).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([_longs(x), pa.array(part), pa.array(many > 1), _longs(own[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "part", "wide", "set", "size", "pos"])
+
+    return sets.select("set", "size", "elements").mapInArrow(run, POSTING)
 
 
 def subsets(sets: DataFrame, rule: Rule, bound: int) -> DataFrame:
@@ -533,11 +633,11 @@ def component_roots(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     rule = Rule(percent)
     sizes = {r["n_shingles"]: r["n"] for r in rows.filter(f"n_shingles between 1 and {CARRIED}").groupBy("n_shingles").agg(F.approx_count_distinct("set").alias("n")).collect()}
     bound = chosen_bound(sizes, rule)
-    found = cut(proposed(postings(docs, k, rule, bound, often_of(rows)), rule, bound))
+    often = often_of(rows)
+    sets = cut(whole_sets(docs, k, cut(met_sets(docs, rows, k, rule, bound, often))))
+    found = cut(proposed(postings(sets, rule, often), rule, bound))
     pairs = found.filter("b is not null").select("a", "b").distinct()
     long = found.filter("b is null").select("key", F.col("a").alias("set"), "size", "pos")
-    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(long.select("set")).distinct())
-    sets = cut(whole_sets(docs, k, met))
     links = verified(cut(near(pairs, sets, rule)), sets, rule)
     if bound:
         links = links.unionByName(light_links(rows, rule, bound))
