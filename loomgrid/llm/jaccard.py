@@ -54,7 +54,7 @@ from loomgrid.llm.words import Words, mix, slices
 
 U = np.uint64
 #: Lists of at most SHORT members propose all pairs; longer ones LEADERS stars a block of at most BLOCK members.
-SHORT, BLOCK, LEADERS = 64, 1024, 8
+SHORT, BLOCK, LEADERS = 8, 1024, 8
 #: Shingles that STRETCH successive ones hold in OFTEN sets come last; at most MAX_OFTEN of them are told apart. A list of more than SPLIT sets is dealt to several tasks.
 STRETCH, OFTEN, MAX_OFTEN, SPLIT = 1 << 21, 4, 1 << 20, 4096
 #: Shingles that a task packs at once, and that one bucket of them is to hold.
@@ -426,9 +426,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]
 
 
 def _may(rule: Rule, bound: int, s, t, p, q) -> np.ndarray:
-    """Whether sets of s and t, not both light, that meet in their p-th and q-th shingles may link."""
-    need = rule.overlap(s, t)
-    return (np.minimum(s - p, t - q) + np.minimum(p, q) >= need) & (need <= np.minimum(s, t)) & (np.maximum(s, t) > bound)
+    """Whether sets of s and t, not both light, may link if the p-th and q-th shingle is the first they have in common.
+
+    A pair that links has a first common shingle, so it is told in that list, and need not be in others.
+    """
+    return (np.minimum(s - p, t - q) >= rule.overlap(s, t)) & (np.maximum(s, t) > bound)
 
 
 PROPOSED = "a long, b long, key long, size int, pos int"
@@ -464,12 +466,19 @@ def proposed(lists: DataFrame, rule: Rule, bound: int) -> DataFrame:
             new[1:] = sets[1:] != sets[:-1]
             key, sets, size, pos = key[new], sets[new], size[new].astype(np.int64), pos[new].astype(np.int64)
             if again or len(sets) > SHORT or wide[0]:
+                some = np.ones(len(sets), bool)
                 if len(sets) > 1:
                     x, y = stars(sets, size, pos)
                     a.append(x)
                     b.append(y)
                     held += len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(sets), pa.nulls(len(sets), pa.int64()), pa.array(key), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["a", "b", "key", "size", "pos"])
+                    if not again and len(sets) < BLOCK and not wide[0]:  # a whole list: who has a partner in it
+                        i, j = np.triu_indices(len(sets), 1)
+                        ok = _may(rule, bound, size[i], size[j], pos[i], pos[j])
+                        some = np.bincount(i[ok], minlength=len(sets)) + np.bincount(j[ok], minlength=len(sets)) > 0
+                n = int(some.sum())
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(sets[some]), pa.nulls(n, pa.int64()), pa.array(key[some]), pa.array(size[some].astype(np.int32)), pa.array(pos[some].astype(np.int32))], names=["a", "b", "key", "size", "pos"])
             elif len(sets) > 1:
                 i, j = np.triu_indices(len(sets), 1)
                 ok = _may(rule, bound, size[i], size[j], pos[i], pos[j])
