@@ -12,9 +12,10 @@ Targets: sources by code point, null last, weigh 3, 1, 2, repeating, and share
 150 % of all words; a target stops at twice its source's words, the excess being
 shared again by weight.
 
-Defined results: a null or empty text has size 0 and gives no words; a source
-without words has target 0. Repeated rows are separate rows. An empty table gives
-no rows. Extra columns are ignored by schedule() and take(), kept by mixed().
+Defined results: a null or empty text has size 0, gives no words and has no slot;
+a source without words has target 0. Very long texts cover many slots. Repeated
+rows are separate rows. An empty table gives no rows. Extra columns of any name
+are ignored by take() and kept by mixed().
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm.ordered import cut, ranked
+from loomgrid.llm.ordered import cut, parts, ranked
 from loomgrid.llm.sharding import seeded, source_key
 from loomgrid.llm.words import Words, slices
 
@@ -124,9 +125,10 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, seed: str = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The ranked documents with targets, and slot, _source, rank, doc_id, row, from_word, to_word of what each slot takes of them.
+    """The ranked documents with targets, and slot, _source, rank, doc_id, row, epoch, from_word, to_word of what each slot takes of them.
 
-    row: the document's place in its source's shuffle; words are counted in the document from 0.
+    row: the document's place in its source's shuffle; epoch: how often the source's
+    stream was taken before; words are counted in the document from 0.
     """
     # one digest a document, so that the shuffled order depends on no partitioning
     rows = ranked(sized(docs).withColumn("_key", seeded(seed, "doc_id")), "_source", ["_key", "doc_id", "_text"], ["size"])
@@ -138,30 +140,32 @@ def pieces(docs: DataFrame, seed: str = SEED, block: int = BLOCK) -> tuple[DataF
     met = epochs.withColumn("rank", F.explode(F.expr(f"sequence(_from div {block}, (_from + size - 1) div {block})"))).join(slots, ["_source", "rank"])
     lo = F.greatest(F.col("rank") * block - F.col("_from"), F.lit(0))
     hi = F.least(F.col("rank") * block + F.col("words") - F.col("_from"), F.col("size"))
-    taken = met.select("slot", "_source", "rank", "doc_id", "row", lo.alias("from_word"), hi.alias("to_word")).filter("from_word < to_word")
+    taken = met.select("slot", "_source", "rank", "doc_id", "row", F.col("_epoch").alias("epoch"), lo.alias("from_word"), hi.alias("to_word")).filter("from_word < to_word")
     return rows.join(plan.select("_source", "source_size", "target"), "_source"), taken
 
 
-def _taken(docs: DataFrame, seed: str) -> DataFrame:
-    rows, got = pieces(docs, seed)
-    got = got.groupBy("_source", "row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return rows.join(got, ["_source", "row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-
-
 def take(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each row."""
-    return _taken(docs, seed).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, first_slot and last_slot of each row: what the slots of the schedule take of it, and the first and last that do."""
+    rows, got = pieces(docs, seed)
+    got = got.groupBy("_source", "row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    found = rows.join(got, ["_source", "row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of the mix with all their columns: each document as often as its words are taken, to the nearest whole time.
+    """The rows of the mix with all their columns, in the order of the schedule: each document as often as its words are taken, to the nearest whole time.
 
-    Rows that agree in doc_id, source and text take their average. A document
-    without words is not in the mix.
+    A copy stands at the slot that takes its first word, so that sources interleave
+    by weight and the copies of a document lie a whole stream apart. Rows that agree
+    in doc_id, source and text take their average. A document without words is not
+    in the mix.
     """
-    names, made = docs.columns, ["_mix_source", "_mix_text", "_mix_id"]
-    got = _taken(docs, seed).filter("size > 0").groupBy("_source", "_text", "doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
-    got = got.select(F.col("_source").alias(made[0]), F.col("_text").alias(made[1]), F.col("doc_id").alias(made[2]), "_times").filter("_times > 0")
-    own = docs.select(*names, source_key().alias("_s"), F.xxhash64("text").alias("_t"))
-    met = own.join(got, (F.col("_s") == F.col(made[0])) & (F.col("_t") == F.col(made[1])) & own["doc_id"].eqNullSafe(F.col(made[2])))
-    return met.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*names)
+    rows, got = pieces(docs, seed)
+    own = ["_source", "_text", "doc_id"]
+    starts = got.groupBy("_source", "row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), *(F.min(F.when(F.col("epoch") == e, F.col("slot"))).alias(f"_slot{e}") for e in range(MOST)))
+    times = rows.filter("size > 0").join(starts, ["_source", "row"], "left").groupBy(*own).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"), *(F.min(f"_slot{e}").alias(f"_slot{e}") for e in range(MOST)))
+    times = times.filter("_times > 0").select(F.col("_source"), F.col("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.slice(F.array(*(f"_slot{e}" for e in range(MOST))), F.lit(1), F.col("_times")).alias("_slots"))
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("_row")
+    texts = docs.select(whole, source_key().alias("_source"), F.xxhash64("text").alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
+    copies = texts.join(times, ["_source", "_text", "_id"]).withColumn("_slot", F.explode("_slots"))
+    return copies.repartitionByRange(parts(copies), "_slot", "_id", "_text").sortWithinPartitions("_slot", "_id", "_text").select("_row.*")

@@ -68,7 +68,8 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Whether a row is held out; one without doc_id is not, and teaches nothing."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +98,28 @@ levels as (
   from sources),
 plan as (
   select src, source_size, least(most, coalesce((select level from levels l where l.level * l.w < l.most order by l.most / l.w, l.src limit 1) * w, most)) as target from levels),
+cuts as (
+  select src, floor(target)::bigint as words, round(sum(floor(target)::bigint) over (order by src)::double / (sum(floor(target)::bigint) over ())::double * {1 << mixing.BITS}.0e0)::bigint as hi
+  from plan where floor(target) > 0),
+parts as (
+  select *, coalesce(lag(hi) over (order by src), 0) as lo from cuts),
+points as (
+  select i as slot, list_sum([((i >> b) & 1) << ({mixing.BITS - 1} - b) for b in range({mixing.BITS})])::bigint as x
+  from (select unnest(range((select (sum(words) // {mixing.BLOCK} + 1) * 2 + 1000 from cuts)::bigint)) as i)),
+slots as (
+  select slot, src, row_number() over (partition by src order by slot) - 1 as k from points join parts on x >= lo and x < hi),
 placed as (
-  select d.doc_id, d.size, p.source_size, p.target, floor(p.target)::bigint as words,
+  select d.doc_id, d.src, d.size, p.source_size, p.target, floor(p.target)::bigint as words,
          (sum(d.size) over (partition by d.src order by d.k, d.doc_id rows unbounded preceding) - d.size)::bigint as at_word
-  from docs d join plan p using (src))
-select doc_id, size, source_size, target,
-       (least(size, greatest(0, words - at_word)) + least(size, greatest(0, words - source_size - at_word)))::bigint as taken
-from placed
+  from docs d join plan p using (src)),
+ends as (
+  select *, (least(size, greatest(0, words - at_word)) + least(size, greatest(0, words - source_size - at_word)))::bigint as taken,
+         case when words > source_size + at_word then least(source_size + at_word + size, words) else least(at_word + size, words) end - 1 as last_word
+  from placed)
+select doc_id, size, source_size, target, taken, a.slot as first_slot, b.slot as last_slot
+from ends
+left join slots a on a.src = ends.src and taken > 0 and a.k = at_word // {mixing.BLOCK}
+left join slots b on b.src = ends.src and taken > 0 and b.k = last_word // {mixing.BLOCK}
 """
 
 #: DuckDB has no crc32: the tests use this for the rest of op7's columns.
@@ -113,10 +129,14 @@ with docs as (
          {_KEY.format(f"'{sharding.SEED}|' || coalesce(text, '')")} as kt,
          {_KEY.format(f"'{sharding.SEED}|' || coalesce(doc_id::varchar, '')")} as kd
   from documents),
+groups as (
+  select kt, min(src) as home, count(*) as n from docs group by kt),
 within as (
-  select *, row_number() over (partition by src order by kt, kd, doc_id) - 1 as r, count(*) over (partition by src) as n from docs),
+  select *, sum(n) over (partition by home order by kt) - n as r, sum(n) over (partition by home) as m from groups),
+dealt as (
+  select kt, sum(n) over (order by (2 * r + n)::double / (2 * m)::double, home, kt) - n as first, sum(n) over () as total from within),
 placed as (
-  select *, row_number() over (order by (2 * r + 1)::double / (2 * n)::double, src, r) - 1 as p, count(*) over () as total from within)
+  select doc_id, size, first + row_number() over (partition by kt order by kd, doc_id) - 1 as p, total from docs join dealt using (kt))
 select doc_id, size, (p * 8 // total)::int as shard, row_number() over (partition by p * 8 // total order by p) - 1 as slot from placed
 """
 

@@ -1,18 +1,19 @@
 """Sharding by proportional stratified interleaving.
 
-Rows of each source are ranked in a seeded shuffle; a row's fractional rank is
-(rank + 1/2) / rows of its source. Sorting all rows by fractional rank deals every
-source evenly over the order, so equal cuts of it all hold the corpus' mixture.
-The law is `rows`: counts of shards differ by at most one.
-
-The shuffle goes by a seeded hash of the text first, so that equal texts stand
-together and, as far as the law allows, share a shard; copies beyond a shard's
-share run on into the next one.
-
-Defined results: a null text has size 1 and the checksum of no bytes; a null
-source is a source of its own, after all others. Repeated rows are separate rows.
-An empty table gives no rows. Extra columns are ignored by assign() and kept by
-shard_rows().
+Rows of each source are ranked in a seeded shuffle; a row's fractional rank is the
+share of its source's rows before it. Sorting all rows by fractional rank deals
+every source evenly over the order, so equal cuts of it all hold the corpus'
+mixture. The law is `rows`: counts of shards differ by at most one.
+
+Equal texts are one unit: of whichever source, they are ranked together with the
+rows of the first of their sources, have the fractional rank of their middle, and
+stand together in the order. So of all groups of equal texts only those over which
+a cut falls, one a cut at most, are in more than one shard.
+
+Defined results: a null text has size 1 and the checksum of no bytes, and is equal
+to an empty one; a null source is a source of its own, after all others. Repeated
+rows are separate rows of one group. Very long texts count as one row. An empty
+table gives no rows. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.ordered import ranked
+from loomgrid.llm.ordered import cut, ranked
 
 SHARDS, SEED = 8, "shard-1"
 
@@ -43,9 +44,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
         "doc_id", source_key().alias("_source"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
         seeded(seed, "text").alias("_text"), seeded(seed, "doc_id").alias("_row"),
     )
-    within = ranked(rows, "_source", ["_text", "_row", "doc_id"])
-    dealt = within.select("doc_id", "_source", "size", "text_crc32", ((2 * F.col("rank") + 1) / (2 * F.col("group_rows"))).alias("_share"), F.lit("all").alias("_all"), F.col("rank").alias("_rank"))
-    placed = ranked(dealt, "_all", ["_share", "_source", "_rank"])
-    shard = F.expr(f"rank * {shards} div group_rows")
-    first = F.expr(f"(shard * group_rows + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    rows = cut(rows)
+    groups = rows.groupBy("_text").agg(F.min("_source").alias("_home"), F.count("*").alias("_n"))
+    within = ranked(groups, "_home", ["_text"], ["_n"])
+    dealt = within.select("_text", "_home", "_n", ((2 * F.col("before__n") + F.col("_n")) / (2 * F.col("all__n"))).alias("_share"), F.lit("all").alias("_all"))
+    placed = ranked(dealt, "_all", ["_share", "_home", "_text"], ["_n"]).select("_text", "_n", F.col("before__n").alias("_at"), F.col("all__n").alias("_total"))
+    met = rows.join(placed, "_text")
+    # a row's place in its group; most are alone in theirs
+    more = ranked(met.filter("_n > 1").withColumn("_name", F.col("_text").cast("string")), "_name", ["_row", "doc_id"]).withColumn("_p", F.col("_at") + F.col("rank"))
+    out = met.filter("_n = 1").withColumn("_p", F.col("_at")).unionByName(more.select(*met.columns, "_p"))
+    shard, first = F.expr(f"_p * {shards} div _total"), F.expr(f"(shard * _total + {shards - 1}) div {shards}")
+    return out.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_p") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
