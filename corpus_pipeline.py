@@ -1,4 +1,14 @@
-"""A corpus from raw documents to shards; each stage is one operator of loomgrid.llm."""
+"""A corpus from raw documents to shards; each stage is one operator of loomgrid.llm.
+
+Defined results, for every stage: an empty table gives no rows. Repeated rows are
+rows of their own, but for the Jaccard join, which keeps one of them. Columns of any
+name beside those of documents are kept up to the mix. Very long texts are read
+whole. A null or empty text goes in the first stage, as it has too few words; where
+a stage meets one, the Jaccard join and decontamination keep it, and the mix, which
+takes words, leaves it out. A null doc_id, lang or source is a value like others.
+run() writes each stage's rows to the shared folder and reads them for the next, so
+that no stage is worked out twice.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +16,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import decontaminate, jaccard, mixing, quality, sharding
+from loomgrid.llm import decontaminate, jaccard, mixing, ordered, quality, sharding
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: those that fail the base rule or that the forest finds odd go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of alike texts."""
+    """One document of each component of alike texts, of five-word shingles at a similarity of 0.8: one of its least doc_id."""
     return jaccard.distinct_texts(docs)
 
 
@@ -25,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of its schedule."""
     return mixing.mixed(docs)
 
 
@@ -48,6 +58,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the whole of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = ordered.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
