@@ -58,7 +58,7 @@ SHORT, BLOCK, LEADERS = 8, 1024, 8
 #: Shingles that STRETCH successive ones hold in OFTEN sets come last; at most MAX_OFTEN of them are told apart. A list of more than SPLIT sets is dealt to several tasks.
 STRETCH, OFTEN, MAX_OFTEN, SPLIT = 1 << 21, 4, 1 << 20, 4096
 #: Shingles that a task packs at once, and that one bucket of them is to hold.
-HELD, BUCKET = 1 << 20, 1 << 20
+HELD, BUCKET = 1 << 19, 1 << 19
 #: Sets of at most so many shingles are carried along by the first scan, so that the light ones need no other; no cost-chosen boundary comes near.
 CARRIED = 64
 #: Bits of the filter of the second scan for each set it looks for, and at most.
@@ -265,7 +265,11 @@ def met_sets(docs: DataFrame, rows: DataFrame, k: int, rule: Rule, bound: int, o
     sent = fronts(docs, k, rule, bound, often, buckets)
     dealt = sent.repartition(parts(sent), "bucket").sortWithinPartitions("bucket")
 
-    def shared(blobs: list[bytes]) -> pa.RecordBatch:
+    targets = parts(sent)
+    Tally = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def shared(blobs: list[bytes]) -> Tally:
+        """Of each set how many of a bucket's shingles are in other sets too."""
         arrays = [np.frombuffer(x, U) for x in blobs]
         x, own = (np.concatenate([a.reshape(2, -1)[i] for a in arrays]) for i in (0, 1))
         turn = np.argsort(x, kind="stable")
@@ -279,54 +283,75 @@ def met_sets(docs: DataFrame, rows: DataFrame, k: int, rule: Rule, bound: int, o
         new = np.ones(len(x), bool)
         new[1:] = (x[1:] != x[:-1]) | (own[1:] != own[:-1])
         sets, n = np.unique(own[new], return_counts=True)
-        return pa.RecordBatch.from_arrays([_longs(sets), _longs(n), _longs(np.zeros(len(n), np.int64))], names=["set", "n", "often"])
+        return sets, n.astype(U), np.zeros(len(n), U)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(tallies: list[Tally]) -> Tally:
+        sets, n, often = (np.concatenate(c) for c in zip(*tallies, strict=True))
+        turn = np.argsort(sets, kind="stable")
+        sets, n, often = sets[turn], n[turn], often[turn]
+        start = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]])) if len(sets) else np.zeros(0, np.int64)
+        return sets[start], np.add.reduceat(n, start) if len(start) else n, np.maximum.reduceat(often, start) if len(start) else often
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
+        tallies: list[Tally] = []
         last = None
+
+        def packed() -> pa.RecordBatch:
+            found = summed(tallies)
+            tallies.clear()
+            to = ((found[0] >> U(32)) * U(targets) >> U(32)).astype(np.int64)
+            edges = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)).tolist() if len(to) else [0]
+            blobs = [b"".join(c[i:j].tobytes() for c in found) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(to[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["target", "packed"])
+
         for b in batches:
             known = b.filter(b.column("packed").is_null())
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column("set"), _longs(np.zeros(known.num_rows, np.int64)), known.column("n")], names=["set", "n", "often"])
+                tallies.append((known.column("set").to_numpy().view(U), np.zeros(known.num_rows, U), known.column("n").to_numpy().view(U)))
             b = b.filter(b.column("packed").is_valid())
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("packed"), strict=True):
                 if bucket != last and held:
-                    yield shared(held)
+                    tallies.append(shared(held))
                     held = []
                 held.append(blob.as_py())
                 last = bucket
+            if sum(len(x) for x, _, _ in tallies) >= HELD:
+                yield packed()
+        if held:
+            tallies.append(shared(held))
+        if tallies:
+            yield packed()
+
+    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Tally] = []
+        last = None
+
+        def told() -> pa.RecordBatch:
+            sets, n, often = summed(held)
+            return pa.RecordBatch.from_arrays([_longs(sets), _longs(n + often)], names=["set", "n"])
+
+        for b in batches:
+            for target, blob in zip(b.column("target").to_pylist(), b.column("packed"), strict=True):
+                if target != last and held:
+                    yield told()
+                    held = []
+                held.append(tuple(np.frombuffer(blob.as_py(), U).reshape(3, -1)))
+                last = target
         if held:
-            yield shared(held)
+            yield told()
 
-    counts = dealt.mapInArrow(run, "set long, n long, often long").groupBy("set").agg((F.sum("n") + F.max("often")).alias("n"))
+    tallied = dealt.mapInArrow(count, "target int, packed binary")
+    counts = tallied.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(total_of, "set long, n long")
     sizes = rows.filter("set is not null and n_shingles > 0").groupBy("set").agg(F.max("n_shingles").alias("s"))
     least = f"(s * {rule.percent} + 99) div 100"
     spare = f"({least}) * {100 - rule.percent} div 100"  # what a partner of that size may lack
     return counts.join(sizes, "set").filter(f"n >= least({least}, 2 * ({spare}) + 1) - ({spare})").select("set")
 
 
-POSTING = "key long, part int, wide boolean, set long, size int, pos int"
-
-
-def postings(sets: DataFrame, rule: Rule, often: Often) -> DataFrame:
-    """key, part, wide, set, size and pos of the shingles that each set sends; pos: the place in its order.
-
-    A list that is known to be large (wide) is dealt into parts by set.
-    """
-    shared = sets.sparkSession.sparkContext.broadcast(often)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
-                own, size = b.column("set").to_numpy().view(U), b.column("size").to_numpy().astype(np.int64)
-                row, pos, x, at = _first(order, rule.sent(size), np.repeat(np.arange(len(size)), size), b.column("elements").flatten().to_numpy().view(U))
-                many = np.where(at >= 0, -(-order.counts[at] // SPLIT), 1) if len(order.counts) else np.ones(len(at), np.int64)
-                part = ((mix(own[row]) >> U(8)).astype(np.int64) % many).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_longs(x), pa.array(part), pa.array(many > 1), _longs(own[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "part", "wide", "set", "size", "pos"])
-
-    return sets.select("set", "size", "elements").mapInArrow(run, POSTING)
+def postings(sets: DataFrame) -> DataFrame:
+    """key, part, wide, set, size and pos of the shingles that each set sends; pos: the place in its order; sets: from whole_sets()."""
+    return sets.select("set", "size", F.posexplode("first").alias("pos", "_f")).select("_f.key", "_f.part", "_f.wide", "set", "size", "pos")
 
 
 def subsets(sets: DataFrame, rule: Rule, bound: int) -> DataFrame:
@@ -531,29 +556,43 @@ def _folded(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def whole_sets(docs: DataFrame, k: int, met: DataFrame) -> DataFrame:
-    """set, size, bits and elements of the sets named in met; a bitmap of bounded size finds them in a second scan."""
+def whole_sets(docs: DataFrame, k: int, rule: Rule, often: Often, met: DataFrame) -> DataFrame:
+    """set, size, bits, elements and first of the sets named in met; a bitmap of bounded size finds them in a second scan.
+
+    first: key, part and wide of the first shingles, in their order; the list of a key
+    that is known to be large (wide) is dealt into parts by set.
+    """
     many = met.count()
     width = min(MAX_FILTER_BITS, max(12, (FILTER_RATE * many).bit_length()))
     cell = f"shiftrightunsigned(set, {64 - width})"
     words = met.select(F.expr(f"{cell} div 64").alias("word"), F.expr(f"shiftleft(1L, cast({cell} % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (width - 6), np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    wanted = docs.sparkSession.sparkContext.broadcast(table)
+    wanted = docs.sparkSession.sparkContext.broadcast((table, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value.view(U)
+        bits, order = wanted.value
+        bits = bits.view(U)
         for _, own, size, fresh, doc, e in _each(batches, k):
             at = (own >> U(64 - width)).astype(np.int64)
             hit = fresh & ((bits[at >> 6] >> (at & 63).astype(U)) & U(1) == 1)
-            x = e[hit[doc]]
-            end = np.cumsum(size[hit])
-            if len(end):
-                maps = [_parities(y) for y in np.split(x, end[:-1])]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), _longs(x))
-                yield pa.RecordBatch.from_arrays([_longs(own[hit]), pa.array(size[hit].astype(np.int32)), pa.array(maps, pa.binary()), lists], names=["set", "size", "bits", "elements"])
-
-    found = docs.select("text").mapInArrow(run, "set long, size int, bits binary, elements array<long>")
+            x, sets, size = e[hit[doc]], own[hit], size[hit]
+            end = np.cumsum(size)
+            if not len(end):
+                continue
+            maps = [_parities(y) for y in np.split(x, end[:-1])]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), _longs(x))
+            sent = rule.sent(size)
+            row, pos, key, place = _first(order, sent, np.repeat(np.arange(len(size)), size), x)
+            turn = np.lexsort((pos, row))
+            row, key, place = row[turn], key[turn], place[turn]
+            split = np.where(place >= 0, -(-order.counts[place] // SPLIT), 1) if len(order.counts) else np.ones(len(row), np.int64)
+            part = ((mix(sets[row]) >> U(8)).astype(np.int64) % split).astype(np.int32)
+            first = pa.StructArray.from_arrays([_longs(key), pa.array(part), pa.array(split > 1)], names=["key", "part", "wide"])
+            first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sent)]), pa.int32()), first)
+            yield pa.RecordBatch.from_arrays([_longs(sets), pa.array(size.astype(np.int32)), pa.array(maps, pa.binary()), lists, first], names=["set", "size", "bits", "elements", "first"])
+
+    found = docs.select("text").mapInArrow(run, "set long, size int, bits binary, elements array<long>, first array<struct<key: long, part: int, wide: boolean>>")
     return found.join(met, "set", "left_semi").dropDuplicates(["set"])
 
 
@@ -643,8 +682,8 @@ def component_roots(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     sizes = {r["n_shingles"]: r["n"] for r in rows.filter(f"n_shingles between 1 and {CARRIED}").groupBy("n_shingles").agg(F.approx_count_distinct("set").alias("n")).collect()}
     bound = chosen_bound(sizes, rule)
     often = often_of(rows)
-    sets = cut(whole_sets(docs, k, cut(met_sets(docs, rows, k, rule, bound, often))))
-    found = cut(proposed(postings(sets, rule, often), rule, bound))
+    sets = cut(whole_sets(docs, k, rule, often, cut(met_sets(docs, rows, k, rule, bound, often))))
+    found = cut(proposed(postings(sets), rule, bound))
     pairs = found.filter("b is not null").select("a", "b").distinct()
     long = found.filter("b is null").select("key", F.col("a").alias("set"), "size", "pos")
     links = verified(cut(near(pairs, sets, rule)), sets, rule)
