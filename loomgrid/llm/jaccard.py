@@ -17,7 +17,7 @@ with them, go through inverted lists, in steps that each lose no link:
     to inverted lists, with their places in the order, which bound what two sets can
     have in common from where they meet. Short lists propose all pairs that sizes and
     places allow, long ones stars: leaders with all others. Each set has a bitmap of
-    the parities of its shingles, about as many bits as shingles: the bits in which
+    the parities of its shingles, four to eight bits a shingle: the bits in which
     two bitmaps differ are no more than the shingles in which the sets differ. Pairs
     that pass are verified exactly, and components formed. Near copies, however many,
     are mostly one component by now.
@@ -521,8 +521,8 @@ def proposed(lists: DataFrame, rule: Rule, bound: int) -> DataFrame:
 
 
 def _parities(e: np.ndarray) -> bytes:
-    """A bitmap of the parities of a set's cells, of about as many bits as shingles; of twice the bits, one folds into the other."""
-    bits = 1 << max(6, int(len(e) - 1).bit_length())
+    """A bitmap of the parities of a set's cells, of four to eight bits a shingle; of twice the bits, one folds into the other."""
+    bits = 1 << max(6, int(4 * len(e) - 1).bit_length())
     odd = np.bincount((mix(e ^ U(0x5851F42D4C957F2D)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
