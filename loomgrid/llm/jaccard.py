@@ -22,8 +22,9 @@ with them, go through inverted lists, in steps that each lose no link:
     that pass are verified exactly, and components formed. Near copies, however many,
     are mostly one component by now.
 3.  Long lists that still hold several components propose pairs between these,
-    block by block, first the most alike pair of each two components, then, after
-    these are verified, all others. Bitmaps come first, then verification.
+    block by block, first, twice, a forest of the most alike pairs that would join
+    them, then, after these are verified, all others. Bitmaps come first, then
+    verification.
 
 The bound is where the rows of listing subsets begin to outnumber those of lists,
 by the sizes of all sets. Equal sets are one from the start. The order changes
@@ -622,8 +623,27 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(100 * both >= rule.percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
+def _forest(root: np.ndarray, apart: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs of members, the most alike ones first, those that join components not joined by ones before."""
+    out: list[tuple[int, int]] = []
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    turn = np.argsort(apart, kind="stable")
+    for a, b, x, y in zip(i[turn].tolist(), j[turn].tolist(), root[i[turn]].tolist(), root[j[turn]].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def between(members: DataFrame, rule: Rule, bound: int, best: bool) -> DataFrame:
-    """a, b, ra and rb: pairs of members of one list, of different components, that bitmaps do not rule out; best: only the most alike of each two components in a block.
+    """a, b, ra and rb: pairs of members of one list, of different components, that bitmaps do not rule out; best: only the most alike ones that would join all components so met in a block.
 
     members: key, set, size, pos, bits and root. A list is cut into blocks, and each
     two of its blocks go to one task, whose pairs it alone tells: those of one block
@@ -640,8 +660,8 @@ def between(members: DataFrame, rule: Rule, bound: int, best: bool) -> DataFrame
         for _, (_, lo, hi, block, sets, size, pos, bits, root) in _groups(batches, keys, [*keys, "_b", "set", "size", "pos", "bits", "root"], 1 << 62):
             size, pos = size.astype(np.int64), pos.astype(np.int64)
             maps = _Bitmaps(bits)
-            found: dict[tuple[int, int], tuple[int, int, int]] = {}
             out: list[tuple[int, int, int, int]] = []
+            met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i in range(len(sets) - 1):
                 j = np.arange(i + 1, len(sets))
                 j = j[(root[j] != root[i]) & _may(rule, bound, size[i], size[j], pos[i], pos[j])]
@@ -651,22 +671,21 @@ def between(members: DataFrame, rule: Rule, bound: int, best: bool) -> DataFrame
                     continue
                 apart = maps.apart(i, j)
                 ok = apart <= size[i] + size[j] - 2 * rule.overlap(size[i], size[j])
-                for x, n in zip(j[ok].tolist(), apart[ok].tolist(), strict=True):
-                    a, b = (i, x) if sets[i] < sets[x] else (x, i)
-                    if best:
-                        two = (min(int(root[i]), int(root[x])), max(int(root[i]), int(root[x])))
-                        found[two] = min(found.get(two, (1 << 62, 0, 0)), (n, a, b))
-                    else:
-                        out.append((int(sets[a]), int(sets[b]), int(root[a]), int(root[b])))
+                if best:
+                    met.append((apart[ok], np.full(int(ok.sum()), i), j[ok]))
+                else:
+                    out += [(int(sets[i]), int(sets[x]), int(root[i]), int(root[x])) for x in j[ok]]
                 if len(out) > 100_000:
                     yield told(out)
                     out = []
-            out += [(int(sets[a]), int(sets[b]), int(root[a]), int(root[b])) for _, a, b in found.values()]
+            if met:
+                out += [(int(sets[i]), int(sets[x]), int(root[i]), int(root[x])) for i, x in _forest(root, *(np.concatenate(c) for c in zip(*met, strict=True)))]
             if out:
                 yield told(out)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "ra", "rb"])
+        a = np.array(out, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[:, :2].min(1), a[:, :2].max(1), a[:, 2:].min(1), a[:, 2:].max(1))], names=["a", "b", "ra", "rb"])
 
     return dealt.mapInArrow(run, "a long, b long, ra long, rb long").distinct()
 
@@ -693,12 +712,10 @@ def component_roots(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     if long.isEmpty():
         return roots
     long = long.join(sets.select("set", "bits"), "set")
-    for best in (True, False):
+    for best in (True, True, False):
         more = cut(between(_rooted(long, roots), rule, bound, best))
-        if more.isEmpty():
-            if not best:
-                break
-            continue
+        if more.isEmpty():  # no pair is left
+            break
         ok = verified(more.select("a", "b").distinct(), sets, rule)
         fresh = components(more.join(ok, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         # nodes that were roots of nothing but themselves are new
