@@ -40,9 +40,9 @@ def usage_max_then_sum(spark, d):
 _PRICE = "case status when 'click' then 1.5e0 when 'view' then 2.5e0 when 'signup' then 4.0e0 when 'purchase' then 8.0e0 end"
 
 
-@query(f"select task, round(case when count({_PRICE}) = count(*) then sum(tokens * {_PRICE} / 1e6) end, 6) as usd, count(*) - count({_PRICE}) as unpriced from task_events where event_id % 5 = 1 or task % 4 = 0 and status <> 'error' group by task", "task_events")
+@query(f"select task, round(case when count({_PRICE}) = count(*) then sum(tokens * {_PRICE} / 1e6) end, 6) as usd, count(*) - count({_PRICE}) as unpriced from task_events group by task", "task_events")
 def cost_null_poison(spark, d):
-    e = view(spark, d, "task_events").filter("event_id % 5 = 1 or task % 4 = 0 and status <> 'error'").withColumn("usd", F.col("tokens") * F.expr(_PRICE) / 1e6)
+    e = view(spark, d, "task_events").withColumn("usd", F.col("tokens") * F.expr(_PRICE) / 1e6)
     return e.groupBy("task").agg(F.round(account.sum_if_complete(F.col("usd")), 6).alias("usd"), (F.count("*") - F.count("usd")).alias("unpriced"))
 
 

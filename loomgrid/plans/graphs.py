@@ -47,7 +47,7 @@ def internal_edge_counts(spark, d):
     return view(spark, d, "edges").filter("kind = 'call' and status <> 'resolved'").groupBy("source", "kind").agg(F.count("*").alias("count"))
 
 
-_CAPS = "select 'l' || (o_custkey % 7) as language, case when o_orderkey % 2 = 0 then 'call' else 'import' end as graph, case o_orderpriority when '1-URGENT' then 'unavailable' when '2-HIGH' then 'failed' when '5-LOW' then 'unsupported' else 'empty' end as status, o_orderkey as ordinal from orders where o_orderkey % 97 < 5"
+_CAPS = "select 'l' || (o_custkey % 7) as language, case when o_orderkey % 2 = 0 then 'call' else 'import' end as graph, case o_orderpriority when '1-URGENT' then 'unavailable' when '2-HIGH' then 'failed' when '5-LOW' then 'unsupported' else 'empty' end as status, o_orderkey as ordinal from orders"
 
 
 @query(
@@ -63,9 +63,9 @@ def capability_merge(spark, d):
 _STATE = "case when n = 0 then 'empty' when ambiguous + unresolved > 0 then 'partial' else 'resolved' end"
 
 
-@query(f"select path, resolved, ambiguous, unresolved, {_STATE} as status from (select path, count(*) as n, count(*) filter (where status = 'resolved') as resolved, count(*) filter (where status = 'ambiguous') as ambiguous, count(*) filter (where status = 'unresolved') as unresolved from edges where weight > 48 group by path)", "edges")
+@query(f"select path, resolved, ambiguous, unresolved, {_STATE} as status from (select path, count(*) as n, count(*) filter (where status = 'resolved') as resolved, count(*) filter (where status = 'ambiguous') as ambiguous, count(*) filter (where status = 'unresolved') as unresolved from edges group by path)", "edges")
 def capability_status(spark, d):
-    counts = view(spark, d, "edges").filter("weight > 48").groupBy("path").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
+    counts = view(spark, d, "edges").groupBy("path").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
     return counts.withColumn("status", graph.call_capability(*(F.col(s) for s in STATUSES), F.lit(0)))
 
 

@@ -55,17 +55,17 @@ def query_file(spark, d):
     return view(spark, d, "units").filter(F.col("path").isin("pkg0/mod0.py", "pkg5/mod55.py")).groupBy("path").agg(F.count("*").alias("symbols"), F.array_join(listed, ";").alias("listing"))
 
 
-@query("select u.id as unit, e.id, e.kind, e.line from edges e join units u on u.path = e.path and e.line between u.start_line and u.end_line where u.ordinal < 50", "units", "edges")
+@query("select u.id as unit, e.id, e.kind, e.line from edges e join units u on u.path = e.path and e.line between u.start_line and u.end_line", "units", "edges")
 def query_raw_edges(spark, d):
     """Edges whose coordinate lies in a unit's lines."""
-    units = view(spark, d, "units").filter("ordinal < 50").select(F.col("id").alias("unit"), "path", "start_line", "end_line")
+    units = view(spark, d, "units").select(F.col("id").alias("unit"), "path", "start_line", "end_line")
     return view(spark, d, "edges").join(units, "path").filter("line between start_line and end_line").select("unit", "id", "kind", "line")
 
 
-@query(f"with {_LINES}, s as (select path, unnest([2, 4, 9]) as a from files where ordinal % 50 = 0), k as (select distinct path, x as line_no from s, range(1, 12) t(x) where x between greatest(a - 1, 1) and a + 2) select n.path, n.line_no, n.line from n join k using (path, line_no)", "files")
+@query(f"with {_LINES}, s as (select path, unnest([2, 4, 9]) as a from files), k as (select distinct path, x as line_no from s, range(1, 12) t(x) where x between greatest(a - 1, 1) and a + 2) select n.path, n.line_no, n.line from n join k using (path, line_no)", "files")
 def source_lines(spark, d):
     files = view(spark, d, "files")
-    spans = files.filter("ordinal % 50 = 0").select("path", F.explode(F.array(F.lit(2), F.lit(4), F.lit(9))).alias("start_line")).withColumn("end_line", F.col("start_line") + 1)
+    spans = files.select("path", F.explode(F.array(F.lit(2), F.lit(4), F.lit(9))).alias("start_line")).withColumn("end_line", F.col("start_line") + 1)
     return lookup.source_lines(sequence.lines(files).select("path", "line_no", "line"), spans, 1)
 
 
@@ -90,10 +90,10 @@ def word_tokens_df(spark, d):
     return load(spark, d, "benchmark").select("item_id", F.array_join(text.word_tokens(F.col("text")), " ").alias("words"))
 
 
-@query("select item_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', ' ', 'g'), ' ') as title, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '-') as kebab, rtrim(left(trim(regexp_replace(strip_accents(lower(left(text, 60))), '[^a-z0-9]+', '-', 'g'), '-'), 48), '-') as slug from benchmark")
+@query("select item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') as title, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') as kebab, rtrim(left(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-'), 48), '-') as slug from benchmark")
 def normalize_titles(spark, d):
-    short = F.substring("text", 1, 60)
-    return load(spark, d, "benchmark").select("item_id", text.normal_title(short).alias("title"), text.kebab(short).alias("kebab"), text.slug(F.lower(short)).alias("slug"))
+    whole = F.col("text")
+    return load(spark, d, "benchmark").select("item_id", text.normal_title(whole).alias("title"), text.kebab(whole).alias("kebab"), text.slug(F.lower(whole)).alias("slug"))
 
 
 @query("select id, concat('pkg::', name, '::', ordinal) as symbol, concat(name, '::', ordinal) as short, regexp_replace(name, '([\\\\\\[\\]*_`<>])', '\\\\\\1', 'g') as link, case when size % 2 = 0 then '``` a``b ```' else '` ' || name || ' `' end as code from units", "units")

@@ -123,9 +123,9 @@ def call_reason(spark, d):
     return edges.filter("kind = 'call'").join(lines, ["path", "line"], "left").select("id", "source", "line", "weight", F.expr(_REASON).alias("reason"), F.coalesce("_hit", F.lit(False)).alias("on_import_line"))
 
 
-@query("select ordinal, replace(path, 'src1', '<repo>') as path, replace(substr(source, 1, 200), 'the', '<repo>') as text from files", "files")
+@query("select ordinal, replace(path, 'src1', '<repo>') as path, replace(source, 'the', '<repo>') as text from files", "files")
 def scrub_text(spark, d):
-    return view(spark, d, "files").select("ordinal", scan.scrub(F.col("path"), "src1").alias("path"), scan.scrub(F.substring("source", 1, 200), "the").alias("text"))
+    return view(spark, d, "files").select("ordinal", scan.scrub(F.col("path"), "src1").alias("path"), scan.scrub(F.col("source"), "the").alias("text"))
 
 
 @query("select event_id, case when c in ('click', 'view', 'error') then c else 'other' end as choice from (select event_id, case when event_id % 4 = 0 then json_extract_string('[\"' || status || '\"]', '$[0]') when event_id % 4 = 1 then upper(status) else status end as c from task_events)", "task_events")
