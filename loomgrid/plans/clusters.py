@@ -244,13 +244,9 @@ def event_windows(spark, d):
 @query()
 def event_stream_state(spark, d):
     """Users whose errors run to three, by a stateful stream read to its end."""
-    import tempfile
-    import uuid
-
     from loomgrid.streaming import events
 
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgrid-stream-")
-    return events.run_once(events.streaks(events.read_events(spark, f"{d}/events.parquet")), f"streaks_{uuid.uuid4().hex[:8]}", "append", f"{found}/streaks-{uuid.uuid4().hex[:8]}")
+    return events.run_to_files(events.streaks(events.read_events(spark, f"{d}/events.parquet")))
 
 
 @query("select page_id, lower(regexp_extract(url, '(\\.[^./?#]+)([?#].*)?$', 1)) as suffix, not regexp_matches(url, '/(build|dist|vendor|target)/') as included from pages")

@@ -159,11 +159,11 @@ def tfidf_topk(spark, d):
 
 
 @query(
-    "with s as (select distinct commit_id % 400 as id, file % 40 as item from commit_files where commit_id % 7 < 3), n as (select id, count(*) as n from s group by 1), p as (select a.id as a, b.id as b, count(*) as k from s a join s b using (item) where a.id < b.id group by 1, 2) select a, b, round(k / (x.n + y.n - k)::double, 6) as jaccard from p join n x on x.id = a join n y on y.id = b where round(k / (x.n + y.n - k)::double, 6) >= 0.7",
+    "with s as (select distinct commit_id as id, file as item from commit_files), n as (select id, count(*) as n from s group by 1), p as (select a.id as a, b.id as b, count(*) as k from s a join s b using (item) where a.id < b.id group by 1, 2) select a, b, round(k / (x.n + y.n - k)::double, 6) as jaccard from p join n x on x.id = a join n y on y.id = b where round(k / (x.n + y.n - k)::double, 6) >= 0.7",
     "commit_files",
 )
 def near_dup_jaccard(spark, d):
-    sets = view(spark, d, "commit_files").filter("commit_id % 7 < 3").selectExpr("commit_id % 400 as id", "file % 40 as item").distinct()
+    sets = view(spark, d, "commit_files").selectExpr("commit_id as id", "file as item").distinct()
     return text_match.jaccard_pairs(sets)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,3 +50,21 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
     """All that has arrived, as a table in memory of that name."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame) -> DataFrame:
+    """All rows that an appending stream has made of what has arrived, as a table in the folder that spark.checkpoint.dir names; it goes when the driver ends.
+
+    Where that is unset, a folder of our own if all is on one machine, else an error.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="loomgrid-stream-")
+    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
