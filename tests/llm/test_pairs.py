@@ -247,3 +247,12 @@ def test_pipeline(spark, small):
         docs = out
     assert seen[0] > seen[1] > seen[2] >= seen[3] > 0 and seen[4] == seen[5]
     assert corpus_pipeline.run(spark, small).count() == seen[5]
+
+
+def test_pipeline_on_empty_tables(spark, small, none):
+    import corpus_pipeline
+
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+        assert docs.count() == 0

@@ -205,6 +205,66 @@ def test_kneser_ney_sums_to_one():
     assert 0.9 < total <= 1.001
 
 
+def test_kneser_ney_against_plain_python():
+    """Probabilities of all grams seen and of some that are not, from counts in dictionaries."""
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["the cat sat on the mat", "that hat, that cat", "\U00010400\U00010410 cat"]
+    packed, _ = langid.grams(pa.array(texts))
+    keys, n = np.unique(packed, return_counts=True)
+    model = langid.Model(["en"], np.zeros(len(keys), int), keys, n.astype(float))
+    spelled = lambda g: tuple(int(g) >> (16 * i) & 0xFFFF for i in range(langid.ORDER - 1, -1, -1))
+    levels = {langid.ORDER: Counter({spelled(g): int(c) for g, c in zip(keys, n, strict=True)})}
+    for order in range(langid.ORDER - 1, 0, -1):
+        levels[order] = Counter(g[1:] for g in levels[order + 1])
+    alphabet = len(levels[1]) + 1
+
+    def prob(g):
+        if not g:
+            return 1 / alphabet
+        level = levels[len(g)]
+        ones, twos = (sum(c == x for c in level.values()) for x in (1, 2))
+        discount = min(max(ones / max(ones + 2 * twos, 1) if ones + twos else 0.5, 0.1), 0.9)
+        after = [c for x, c in level.items() if x[:-1] == g[:-1]]
+        gamma = discount * len(after) / sum(after) if after else 1.0
+        return max(level[g] - discount, 0) / max(sum(after), 1) + gamma * prob(g[1:])
+
+    letters = sorted({x for g in levels[1] for x in g})
+    some = [*levels[langid.ORDER], *itertools.islice(itertools.product(letters, repeat=langid.ORDER), 0, 4000, 7)]
+    code = np.array([sum(x << (16 * (langid.ORDER - 1 - i)) for i, x in enumerate(g)) for g in some], np.uint64)
+    assert np.allclose(np.exp(model.log_probs(code)[:, 0]), [prob(g) for g in some], rtol=1e-4)
+    assert len({x for g in levels[1] for x in g if x >= langid.SPARE}) == 2
+
+
+def test_forest_paths_against_plain_python():
+    """Scores are means of path lengths found by walking each tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    points, x = rng.normal(size=(300, 4)), rng.normal(size=(20, 4)) * 3
+    forest = quality.Forest(points, trees=9)
+    want = []
+    for row in np.clip((x - forest.middle) / forest.half, -quality.REACH, quality.REACH):
+        total = 0
+        for at in forest.roots:
+            while forest.feature[at] >= 0:
+                at = forest.child[at] + int(row[forest.feature[at]] >= forest.value[at])
+            total += forest.path[at]
+        want.append(2 ** (-total / len(forest.roots) / forest.norm))
+    assert np.allclose(forest.score(x), want)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["_s", "_t", "_times", "_slot", "_row", "_source", "_text", "_copy", "_mix_id", "_key"]
+    rows = [(i, f"some words of text {i} " * 40, "a" if i % 3 else "b", *([i] * len(names))) for i in range(60)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'`{c}` long' for c in names)}")
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and all(r["_times"] == r["doc_id"] == r["_row"] for r in got.collect())
+
+
 def test_digest_of_conversations(spark, small):
     from loomgrid.llm.queries import op3_chat_format
 
