@@ -152,6 +152,28 @@ def take(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
+def recoded(rows: DataFrame, name: str, pack: bool) -> DataFrame:
+    """The rows with this text column packed, each text by itself after its length, or unpacked again."""
+
+    def code(value: pa.Scalar) -> bytes | None:
+        raw, zstd = value.as_buffer(), pa.Codec("zstd")
+        if raw is None:
+            return None
+        if pack:
+            return raw.size.to_bytes(8, "little") + zstd.compress(raw, asbytes=True)
+        size = int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")
+        return zstd.decompress(raw.slice(8), size, asbytes=True) if size else b""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, name):
+            i = b.schema.get_field_index(name)
+            out = pa.array(map(code, b.column(i)), pa.binary())
+            yield b.set_column(i, name, out if pack else out.view(pa.string()))
+
+    kind = T.BinaryType() if pack else T.StringType()
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, kind if f.name == name else f.dataType, True) for f in rows.schema]))
+
+
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of the mix with all their columns, in the order of the schedule: each document as often as its words are taken, to the nearest whole time.
 
@@ -165,7 +187,10 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     starts = got.groupBy("_source", "row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), *(F.min(F.when(F.col("epoch") == e, F.col("slot"))).alias(f"_slot{e}") for e in range(MOST)))
     times = rows.filter("size > 0").join(starts, ["_source", "row"], "left").groupBy(*own).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"), *(F.min(f"_slot{e}").alias(f"_slot{e}") for e in range(MOST)))
     times = times.filter("_times > 0").select(F.col("_source"), F.col("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.slice(F.array(*(f"_slot{e}" for e in range(MOST))), F.lit(1), F.col("_times")).alias("_slots"))
-    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("_row")
-    texts = docs.select(whole, source_key().alias("_source"), F.xxhash64("text").alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
-    copies = texts.join(times, ["_source", "_text", "_id"]).withColumn("_slot", F.explode("_slots"))
-    return copies.repartitionByRange(parts(copies), "_slot", "_id", "_text").sortWithinPartitions("_slot", "_id", "_text").select("_row.*")
+    # texts are packed before they are moved: once to meet their slots, once, repeated, into order
+    own = [F.col(f"`{c.replace('`', '``')}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    name = f"_c{[c.lower() for c in docs.columns].index('text')}"
+    texts = docs.select(*own, source_key().alias("_source"), F.xxhash64("text").alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
+    copies = recoded(texts, name, True).join(times, ["_source", "_text", "_id"]).withColumn("_slot", F.explode("_slots"))
+    ordered = copies.repartitionByRange(parts(copies), "_slot", "_id", "_text").sortWithinPartitions("_slot", "_id", "_text")
+    return recoded(ordered.select(*(f"_c{i}" for i in range(len(own)))), name, False).toDF(*docs.columns)

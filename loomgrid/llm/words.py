@@ -174,7 +174,7 @@ class Words:
 
 
 def text_bytes(texts: pa.Array) -> np.ndarray:
-    n, wide = len(texts), pa.types.is_large_string(texts.type)
+    n, wide = len(texts), pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     if not n:
         return np.zeros(0, np.int64)
     at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32, n + 1, texts.offset * (8 if wide else 4))

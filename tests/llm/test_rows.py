@@ -282,3 +282,11 @@ def test_digest_of_conversations(spark, small):
     got = op3_chat_format(spark, small).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
     assert not any(r.rewrites_history for r in got)
+
+
+def test_texts_survive_packing(spark):
+    texts = [None, "", "a", "äöü 漢字 😀 \n\t", "long words " * 50_000, "same", "same"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    packed = mixing.recoded(df, "t", True)
+    assert [f.dataType.typeName() for f in packed.schema] == ["integer", "binary"]
+    assert sorted((r.n, r.t) for r in mixing.recoded(packed, "t", False).collect()) == list(enumerate(texts))
