@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgrid.llm.ordered import small_batches
 from loomgrid.llm.words import Words, mix, slices
 
 WORDS, SIMILARITY = 5, 0.8
@@ -229,7 +230,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
                     d, t, s, first, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array([ids[x] for x in t], pa.int64()), pa.array(s), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=schema.names)
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
     found = []
     for ids, items in blocks(benchmark):
@@ -251,5 +252,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         return run
 
     for _, items in blocks(benchmark):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+        docs = small_batches(docs).mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
     return docs

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrid.llm.components import components
-from loomgrid.llm.ordered import cut, parts
+from loomgrid.llm.ordered import cut, parts, small_batches
 from loomgrid.llm.words import Words, mix, slices
 
 U = np.uint64
@@ -170,7 +170,7 @@ def described(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield often()
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(run, schema)
 
 
 class Often:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm.ordered import cut, parts, ranked
+from loomgrid.llm.ordered import cut, parts, ranked, small_batches
 from loomgrid.llm.sharding import seeded, source_key
 from loomgrid.llm.words import Words, slices
 
@@ -120,7 +120,7 @@ def sized(docs: DataFrame) -> DataFrame:
             w = Words(b.column("text"), hashes=False)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_source"), pa.array(w.count.astype(np.int64)), b.column("_text")], names=["doc_id", "_source", "size", "_text"])
 
-    rows = docs.select("doc_id", source_key().alias("_source"), "text", F.xxhash64("text").alias("_text"))
+    rows = small_batches(docs).select("doc_id", source_key().alias("_source"), "text", F.xxhash64("text").alias("_text"))
     return rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("_source", T.StringType()), T.StructField("size", T.LongType()), T.StructField("_text", T.LongType())]))
 
 

@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch; a row of more goes alone.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a folder of our own if all is on one machine, else an error."""
@@ -35,6 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; the session sends Arrow batches of BATCH_BYTES from now on, unless it sets a bound of its own.
+
+    Its default is 64 MB, which the JVM and the Python worker of each task hold more than once.
+    """
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table in the folder all executors share; it goes when the driver ends."""
     spark = df.sparkSession
