@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, suffixes, warc
+from loomgrid.llm import chat, decontaminate, divergence, jaccard, langid, licenses, mixing, ordered, periodic, quality, secrets, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +79,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_source_mix, op6_secret_scan, op7_sharding, op8_quality_rules, op9_warc_revisits, op10_language_id)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from the others, and which terms set it apart."""
+    return divergence.audit(ordered.small_batches(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of every document and digests of all, with repeats put into a tenth of the documents."""
+    return periodic.longest(periodic.detect(periodic.planted(ordered.small_batches(table(spark, sf_dir, "documents")))))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and the licences that every document names."""
+    found = licenses.scan(ordered.small_batches(table(spark, sf_dir, "documents")))
+    at = F.transform("base", lambda s: s["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        licenses.labels("base").alias("base_labels"), licenses.labels("base", "found").alias("labels"), "score",
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_source_mix, op6_secret_scan, op7_sharding, op8_quality_rules, op9_warc_revisits, op10_language_id, op11_source_divergence, op12_periodic_runs, op13_license_scan)}
 
 _SOURCE = "coalesce('0' || source, '1')"
 _KEY = "('0x' || substr(md5({}), 1, 15))::bigint"
@@ -163,4 +183,36 @@ select page_id, canonical_url, outcome, response_page_id,
 from met
 """
 
-ORACLE: dict[str, str] = {"op5_source_mix": _OP5, "op9_warc_revisits": _OP9}
+_OP11 = f"""
+with docs as (
+  select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as words
+  from documents),
+spoken as (
+  select d, lang, source, unnest(words) as term from docs),
+kept as (
+  select lang, term, count(*) as n from spoken group by lang, term having count(distinct d) >= {divergence.MIN_DOCS}),
+langs as (
+  select lang, coalesce(sum(n), 0)::hugeint as total, count(n)::hugeint as v from (select distinct lang from docs) left join kept using (lang) group by lang),
+groups as (
+  select distinct lang, source from docs),
+held as (
+  select lang, source, term, count(*) as n from spoken semi join kept using (lang, term) group by all),
+totals as (
+  select lang, source, coalesce(sum(n), 0)::hugeint as total from groups left join held using (lang, source) group by all),
+shares as (
+  select g.lang, g.source, k.term, coalesce(h.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(h.n, 0) + 5) // (t.total + 5 * l.v) as p, 1 + 1000000000::hugeint * (k.n + 5) // (l.total + 5 * l.v) as q
+  from groups g join langs l using (lang) join totals t using (lang, source) join kept k on k.lang = g.lang left join held h on h.lang = g.lang and h.source = g.source and h.term = k.term),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  union all
+  select a.lang, a.source, 'pair', b.source, 0 from groups a join groups b on a.lang = b.lang and a.source <> b.source join langs l on l.lang = a.lang where l.v = 0),
+terms as (
+  select lang, source, 'term' as part, term as item, p - q as value from shares where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value, rank::int as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+where part = 'pair' or rank <= {divergence.TOP}
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mix": _OP5, "op9_warc_revisits": _OP9, "op11_source_divergence": _OP11}
