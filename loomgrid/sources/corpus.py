@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgrid.sources import repository
+
 #: view: (table, expressions)
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "files": ("documents", ["doc_id as ordinal", "source || '/' || lang || '/doc_' || doc_id || '.txt' as path", "lang as language", "text as source", "md5(text) as digest"]),
@@ -22,6 +24,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "cast(l_linenumber + 10 * (l_partkey div 200) as bigint) as line", "l_orderkey as ordinal", "cast(l_quantity as bigint) as weight",
         ],
     ),
+    "repo_files": ("part", [f"{repository.path('p_partkey')} as path"]),
+    "declarations": ("lineitem", ["l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey as id", f"{repository.path('l_partkey')} as path", f"{repository.declaration('l_partkey', '(l_suppkey * 8 + l_partkey % 8)', 'l_linenumber')} as expression"]),
     "tree_regions": ("region", ["'r' || r_regionkey as id", "'root' as parent", "r_name as title"]),
     "tree_nations": ("nation", ["'n' || n_nationkey as id", "'r' || n_regionkey as parent", "n_name as title"]),
     "supplier_units": ("supplier", ["'s' || s_suppkey as unit", "'n' || s_nationkey as node", "cast(round(s_acctbal * 100) as bigint) as cents"]),
