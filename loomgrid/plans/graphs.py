@@ -97,17 +97,18 @@ def import_explode(spark, d):
 
 
 @query(
-    """with asked as (select ordinal, name, kind, path from units where ordinal % 3 = 0), a as (select name, kind, string_agg(distinct id, ',' order by id) as t, count(distinct id) as n from units where size < 4 group by 1, 2),
-    b as (select path, kind, string_agg(distinct id, ',' order by id) as t, count(distinct id) as n from units where size > 40 group by 1, 2)
+    """with asked as (select u.ordinal, u.name, n.kind, u.path from units u join units n on n.ordinal = u.ordinal + 1), a as (select name, kind, string_agg(distinct id, ',' order by id) as t, count(distinct id) as n from units group by 1, 2),
+    b as (select path, kind, string_agg(distinct id, ',' order by id) as t, count(distinct id) as n from units group by 1, 2)
     select q.ordinal, case when a.n is not null then 'exact' when b.n is not null then 'near' end as basis, case when coalesce(a.n, b.n) is null then 'unresolved' when coalesce(a.n, b.n) = 1 then 'resolved' else 'ambiguous' end as status, coalesce(a.t, b.t) as targets
     from asked q left join a on a.name = q.name and a.kind = q.kind left join b on b.path = q.path and b.kind = q.kind""",
     "units",
 )
 def call_resolution(spark, d):
     units = view(spark, d, "units")
-    exact = units.filter("size < 4").select("name", "kind", F.col("id").alias("target"))
-    near = units.filter("size > 40").select("path", "kind", F.col("id").alias("target"))
-    return graph.cascade(units.filter("ordinal % 3 = 0"), [("exact", ["name", "kind"], exact), ("near", ["path", "kind"], near)], "ordinal")
+    after = units.select((F.col("ordinal") - 1).alias("ordinal"), "kind")
+    exact = units.select("name", "kind", F.col("id").alias("target"))
+    near = units.select("path", "kind", F.col("id").alias("target"))
+    return graph.cascade(units.drop("kind").join(after, "ordinal"), [("exact", ["name", "kind"], exact), ("near", ["path", "kind"], near)], "ordinal")
 
 
 @query("select a, b, sum(count)::bigint as count from (select m.node as a, n.node as b, count from unit_links l join membership m on m.unit = l.\"from\" join membership n on n.unit = l.\"to\") where a <> b group by 1, 2", "membership", "unit_links")

@@ -26,6 +26,17 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     ),
     "repo_files": ("part", [f"{repository.path('p_partkey')} as path"]),
     "declarations": ("lineitem", ["l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey as id", f"{repository.path('l_partkey')} as path", f"{repository.declaration('l_partkey', '(l_suppkey * 8 + l_partkey % 8)', 'l_linenumber')} as expression"]),
+    "methods": ("part", ["p_partkey as node_id", "'m' || (p_partkey % 40) as name", f"{repository.method('p_partkey')} as full_name", f"{repository.method_file('p_partkey')} as file"]),
+    "types": ("supplier", ["'com.acme.K' || (s_suppkey % 300) as full_name", "'K' || (s_suppkey % 300) as name", "'java/app' || (s_suppkey % 10) || '/com/acme/K' || (s_suppkey % 300) || '.java' as file", "case when s_suppkey % 6 <> 5 then 'com.acme.K' || ((s_suppkey + 1) % 300) end as base"]),
+    "calls": (
+        "lineitem",
+        [
+            "l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey as id", "l_partkey as caller_id", f"{repository.method_file('l_partkey')} as caller_file", f"{repository.called('l_partkey', '(l_suppkey * 8 + l_partkey % 8)', 'l_linenumber')} as full_name",
+            "'n' || (l_suppkey % 9) as name", "case when l_linenumber <> 7 then 'call()' when l_suppkey % 3 = 0 then 'len(x[0], \")\")' when l_suppkey % 3 = 1 then 'len(x).real()' else 'mine(x)' end as code",
+            "case when l_linenumber = 1 or (l_linenumber = 2 and l_suppkey % 2 = 0) then l_suppkey * 8 + l_partkey % 8 end as first_callee", "case when l_linenumber = 2 and l_suppkey % 2 = 0 then l_suppkey * 8 + l_partkey % 8 + 8 end as second_callee",
+            f"case when l_linenumber in (3, 5, 6) or (l_linenumber = 7 and l_partkey % 8 > 1) then {repository.called('l_partkey', '(l_suppkey * 8 + l_partkey % 8)', 'l_linenumber')} when l_linenumber = 2 and l_suppkey % 2 = 1 then 'ext.lib' || (l_suppkey % 4) end as outside",
+        ],
+    ),
     "tree_regions": ("region", ["'r' || r_regionkey as id", "'root' as parent", "r_name as title"]),
     "tree_nations": ("nation", ["'n' || n_nationkey as id", "'r' || n_regionkey as parent", "n_name as title"]),
     "supplier_units": ("supplier", ["'s' || s_suppkey as unit", "'n' || s_nationkey as node", "cast(round(s_acctbal * 100) as bigint) as cents"]),

@@ -29,3 +29,35 @@ def declaration(k: str, t: str, v: str) -> str:
     header = f"case {v} when 1 then '#include \"h' || ({t} % 200) || '.h\"' when 2 then '#include <lib' || ({t} % 9) || '/h' || ({t} % 200) || '.h>' when 3 then '#include <stdio.h>' when 4 then '#include <sys/h' || ({t} % 200) || '.h>' when 5 then '#  include \"../lib' || ({t} % 9) || '/h' || ({t} % 200) || '.h\"' when 6 then '#include <h' || ({t} % 200) || '.h>' else '#include MACRO' end"
     ruby = f"case when {v} < 4 then 'require_relative \"y' || ({t} % 80) || '\"' when {v} = 4 then 'require \"json\"' when {v} = 5 then 'require \"rb/x' || ({t} % 6) || '/y' || ({t} % 80) || '\"' when {v} = 6 then 'require_relative(\"../x' || ({t} % 6) || '/y' || ({t} % 80) || '.rb\")' else 'load x' end"
     return f"case {k} % 8 when 0 then {python} when 1 then {python} when 2 then {script} when 3 then {go} when 4 then {java} when 5 then {rust} when 6 then {header} else {ruby} end"
+
+
+def method_file(k: str) -> str:
+    """The file of a method by its key: as path(), with C# in place of Ruby."""
+    return f"case when {k} % 8 = 7 then 'cs/x' || ({k} % 6) || '/y' || ({k} % 400) || '.cs' else {path(k)} end"
+
+
+def _number(k: str) -> str:
+    """One of few names for half of the methods, one of many for the others."""
+    return f"({k} % (40 + 1960 * (({k} div 8) % 2)))"
+
+
+def method(k: str) -> str:
+    """A method's full name as an analyzer of its language writes it."""
+    return (
+        f"case {k} % 8 when 0 then {path(k)} || ':<module>.C' || ({k} % 30) || '.m' || {_number(k)} when 1 then {path(k)} || ':<module>.m' || {_number(k)} when 2 then {path(k)} || '::program:m' || {_number(k)} "
+        f"when 3 then 'acme.org/go/svc' || ({k} % 15) || '.m' || ({k} % 160) when 4 then 'com.acme.K' || ({k} % 300) || '.m' || {_number(k)} || ':void(int)' when 5 then 'rs' || ({k} % 12) || '.R' || ({k} % 50) || '.m' || {_number(k)} "
+        f"when 6 then 'c' || ({k} % 600) else 'N.X' || ({k} % 90) || '.m' || {_number(k)} || ':void(N.T' || ({k} % 3) || ',System.Int32)' end"
+    )
+
+
+def called(k: str, t: str, v: str) -> str:
+    """What a call in method k of method t is named, in the form v of seven."""
+    special = (
+        f"case {k} % 8 when 0 then '//pkg' || ({t} % 25) || '/mod' || ({t} % 60) || '.py:<module>.C' || ({t} % 30) || '.m' || {_number(t)} when 1 then 'C' || ({t} % 30) || '.m' || {_number(t)} when 2 then '../c' || ({t} % 20) || '/v' || ({t} % 90) || '.js::program:m' || {_number(t)} "
+        f"when 3 then 'acme.org/go/svc' || ({t} % 15) || '.other' when 4 then 'K' || ({t} % 300) || '.m' || {_number(t)} || ':void(int)' when 5 then 'R' || ({t} % 50) || '.m' || {_number(t)} when 6 then 'a.c' || ({t} % 600) || '.c' || ({t} % 600) || ':int' else 'N.X' || ({t} % 90) || '.m' || {_number(t)} || ':void(T' || ({t} % 3) || ',Int32)' end"
+    )
+    member = (
+        f"case {k} % 8 when 0 then 'os.py:<module>.join' when 1 then 'pkg' || ({t} % 25) || '.helper' when 2 then 'lodash:map' when 3 then 'ANY.f' || ({t} % 9) when 4 then case when {t} % 3 = 0 then 'Self.m' || {_number(t)} || ':void(int)' else 'K' || ({t} % 300) || '.absent' end when 5 then 'std.vec.push' "
+        f"when 6 then 'c' || ({t} % 700) || ':void' else 'System.Console.Write:void(String)' end"
+    )
+    return f"case when {v} in (3, 4) then {method(t)} when {v} = 5 then {special} when {v} = 6 then {member} when {v} = 7 and {t} % 4 = 0 then '<unresolvedNamespace>.m' when {v} = 7 and {k} % 8 in (0, 1) then '' when {v} = 7 then 'lib.use' || ({t} % 5) else 'any' end"
