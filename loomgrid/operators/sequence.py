@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -23,11 +29,23 @@ def merge_spans(spans: DataFrame, key: str, start: str = "start_line", end: str
 
 
 def lines(files: DataFrame, key: str = "path", text: str = "source") -> DataFrame:
-    """line_no, line, start_byte and end_byte (with its line break, half open) of each line; the text's own order gives the offsets."""
-    parts = files.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("_p", "line"))
-    by = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(by), F.lit(0)).cast("long")
-    return parts.select(key, (F.col("_p") + 1).cast("long").alias("line_no"), "line", start.alias("start_byte"), (start + F.octet_length("line") + 1).alias("end_byte"))
+    """line_no, line, start_byte and end_byte (with its line break, half open) of each line, numbered where the text is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value = batch.column(1)[i].as_py()
+                if value is None:
+                    continue
+                own = pa.array(value.split("\n"), pa.string())
+                size = pc.binary_length(own).to_numpy().astype(np.int64) + 1
+                end = np.cumsum(size)
+                name = batch.column(0).take(pa.array(np.full(len(own), i)))
+                whole = pa.RecordBatch.from_arrays([name, pa.array(np.arange(1, len(own) + 1)), own, pa.array(end - size), pa.array(end)], names=[key, "line_no", "line", "start_byte", "end_byte"])
+                for at in range(0, len(own), 20_000):
+                    yield whole.slice(at, 20_000)
+
+    return files.select(key, text).mapInArrow(run, T.StructType([files.schema[key], *T.StructType.fromDDL("line_no long, line string, start_byte long, end_byte long")]))
 
 
 def chunks(numbered: DataFrame, size: int, key: str = "path") -> DataFrame:
@@ -61,14 +79,19 @@ def holes(whole: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return gap.filter("start_byte > _from").select(key, F.col("_from").cast("long").alias("start_byte"), F.col("start_byte").alias("end_byte"))
 
 
-def owner_of_points(points: DataFrame, ranges: DataFrame, key: str = "path", width: int = 4096) -> DataFrame:
-    """The first range by ordinal that holds each point (key, point); ranges: key, range_id, start_byte, end_byte, ordinal.
+def points_within(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str, end: str, width: int) -> DataFrame:
+    """Each point with each half-open range that holds it.
 
-    An interval join as an equi-join: a range has a row in each bin of width bytes
-    that it meets, a point in its own, so no key meets all ranges of a large file.
+    An interval join as an equi-join: a range has a row in each bin of `width` that
+    it meets, a point in its own, so no key meets all ranges of a large file.
     """
-    binned = ranges.withColumn("_bin", F.explode(F.expr(f"sequence(start_byte div {width}, greatest(start_byte, end_byte - 1) div {width})")))
-    met = points.withColumn("_bin", F.expr(f"point div {width}")).join(binned, [key, "_bin"]).filter("point >= start_byte and point < end_byte")
+    binned = ranges.withColumn("_bin", F.explode(F.expr(f"sequence({start} div {width}, greatest({start}, {end} - 1) div {width})")))
+    return points.withColumn("_bin", F.expr(f"{point} div {width}")).join(binned, [key, "_bin"]).filter(f"{point} >= {start} and {point} < {end}").drop("_bin")
+
+
+def owner_of_points(points: DataFrame, ranges: DataFrame, key: str = "path", width: int = 4096) -> DataFrame:
+    """The first range by ordinal that holds each point (key, point); ranges: key, range_id, start_byte, end_byte, ordinal."""
+    met = points_within(points, ranges, key, "point", "start_byte", "end_byte", width)
     return met.groupBy(*points.columns).agg(F.min_by("range_id", "ordinal").alias("owner"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgrid.operators import graph, sequence, tree
+from loomgrid.operators import graph, tree
 from loomgrid.plans.registry import query
 from loomgrid.sources.corpus import load, membership, nodes, unit_links, view
 
@@ -54,8 +54,7 @@ _CAPS = "select 'l' || (o_custkey % 7) as language, case when o_orderkey % 2 = 0
     f"with caps as ({_CAPS}), best as (select language, graph, status, row_number() over (partition by language, graph order by case status when 'empty' then 4 when 'unsupported' then 3 when 'failed' then 2 else 1 end desc, ordinal) as n from caps) select l.language, g.graph, coalesce(b.status, 'unavailable') as status from (select 'l' || range as language from range(9)) l cross join (select unnest(['call', 'import', 'cfg']) as graph) g left join best b on b.language = l.language and b.graph = g.graph and b.n = 1"
 )
 def capability_merge(spark, d):
-    load(spark, d, "orders").createOrReplaceTempView("_orders")
-    caps = spark.sql(_CAPS.replace("from orders", "from _orders"))
+    caps = spark.sql(_CAPS.replace("from orders", "from {orders}"), orders=load(spark, d, "orders"))
     scaffold = spark.sql("select 'l' || id as language, graph from range(9) join values ('call'), ('import'), ('cfg') as g(graph)")
     return graph.merged_capabilities(caps, scaffold)
 
@@ -203,7 +202,7 @@ for _k, _sql in [(0, "'root'"), (1, "n.parent"), (5, "m.node")]:
 
 @query(
     """with kids as (select parent, count(*) as n from nodes where parent is not null group by 1), faults as (
-      select 'single_root' as "check", (select count(*) from (select count(*) as n from nodes where parent is null) where n <> 1) as detail union all select 'reachable', 0 union all
+      select 'acyclic' as "check", 0 as detail union all select 'single_root', (select count(*) from (select count(*) as n from nodes where parent is null) where n <> 1) as detail union all select 'reachable', 0 union all
       select 'unique_owner', (select count(*) from (select unit from membership group by 1 having count(distinct node) > 1)) union all select 'known_parent', (select count(*) from nodes where parent is not null and parent not in (select id from nodes)) union all
       select 'no_empty_node', (select count(*) from nodes where id not in (select node from membership) and id not in (select parent from kids)) union all select 'distinct_titles', (select count(*) from (select 1 from nodes group by parent, title having count(*) > 1)) union all
       select 'group_sizes', (select count(*) from kids where n < 2 or n > 12)) select "check", detail = 0 as ok, detail from faults""",
@@ -263,7 +262,26 @@ def display_names(spark, d):
 def inheritance_search(spark, d):
     """The nearest base, up a chain of bases, that has the member itself."""
     units = view(spark, d, "units").selectExpr("id", "ordinal", "size", "'u' || (ordinal div 2) as base")
-    units.createOrReplaceTempView("_bases")
-    walked = spark.sql("""with recursive w(id, base, depth) as (select id, base, 0 from _bases where ordinal > 0 union all select w.id, u.base, w.depth + 1 from w join _bases u on u.id = w.base where u.ordinal > 0 and u.size > 5 and w.depth < 40) select id, base, depth from w""")
-    met = walked.join(units.filter("size <= 5").select(F.col("id").alias("base")), "base")
-    return sequence.first_wins(met, ["id"], ["depth", "base"]).select("id", F.col("base").alias("target"), "depth")
+    own = units.select("id", F.when(F.col("ordinal") > 0, F.col("base")).alias("parent"))
+    return tree.nearest(own, units.filter("size <= 5").select("id")).select("id", "target", F.col("depth").cast("int").alias("depth"))
+
+
+_LINKED = "select id, case when ordinal = 0 then null when ordinal % 97 in (3, 4) then 'u' || (ordinal + 1) when ordinal % 97 = 5 then 'u' || (ordinal - 2) when ordinal % 101 = 5 then 'x' || ordinal else 'u' || cast(ordinal div 3 as bigint) end as parent, ordinal from units"
+
+
+@query(
+    f"""with recursive own as ({_LINKED.replace('ordinal div 3', 'ordinal // 3')}),
+    up as (select id, id as top, 0 as depth from own union all select u.id, o.parent, depth + 1 from up u join own o on o.id = u.top where o.parent is not null and depth < 40),
+    highest as (select id, arg_max(top, depth) as top, max(depth) as depth from up group by id),
+    met as (select l.*, o.id as known, o.ordinal from highest l left join own o on o.id = l.top)
+    select m.id, case when m.depth < 40 and known is not null then m.top end as root, case when m.depth < 40 and known is not null then m.depth end::bigint as depth,
+      case when m.depth < 40 then case when known is null then 'lost' else 'reached' end when s.ordinal % 97 in (3, 4, 5) then 'cycle' else 'below' end as state,
+      case when m.depth = 40 then least('u' || (m.ordinal - m.ordinal % 97 + 3), 'u' || (m.ordinal - m.ordinal % 97 + 4), 'u' || (m.ordinal - m.ordinal % 97 + 5)) end as cycle
+    from met m join own s on s.id = m.id""",
+    "units",
+)
+def tree_reach(spark, d):
+    """Roots and depths of a forest, with what hangs on cycles of three or below a parent that is none."""
+    units = view(spark, d, "units")
+    linked = units.select("id", F.expr(_LINKED[len("select id, ") : _LINKED.index(" as parent")]).alias("parent"))
+    return tree.reach(linked)

@@ -58,8 +58,8 @@ def query_file(spark, d):
 @query("select u.id as unit, e.id, e.kind, e.line from edges e join units u on u.path = e.path and e.line between u.start_line and u.end_line", "units", "edges")
 def query_raw_edges(spark, d):
     """Edges whose coordinate lies in a unit's lines."""
-    units = view(spark, d, "units").select(F.col("id").alias("unit"), "path", "start_line", "end_line")
-    return view(spark, d, "edges").join(units, "path").filter("line between start_line and end_line").select("unit", "id", "kind", "line")
+    units = view(spark, d, "units").select(F.col("id").alias("unit"), "path", "start_line", (F.col("end_line") + 1).alias("_end"))
+    return sequence.points_within(view(spark, d, "edges").select("path", "id", "kind", "line"), units, "path", "line", "start_line", "_end", 64).select("unit", "id", "kind", "line")
 
 
 @query(f"with {_LINES}, s as (select path, unnest([2, 4, 9]) as a from files), k as (select distinct path, x as line_no from s, range(1, 12) t(x) where x between greatest(a - 1, 1) and a + 2) select n.path, n.line_no, n.line from n join k using (path, line_no)", "files")
