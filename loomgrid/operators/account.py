@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.operators.rounds import cut
+from loomgrid.operators.sequence import numbered
+
 
 def max_then_sum(messages: DataFrame, id: str, by: str, fields: list[str]) -> DataFrame:
     """Counters that repeat while a message streams: the highest of each message, then their sums."""
@@ -68,18 +71,60 @@ def soft_modularity(weights: DataFrame, shares: DataFrame) -> DataFrame:
     return one.select(F.when(m > 0, F.round(F.coalesce("inside", F.lit(0.0)) / m - F.coalesce("kk", F.lit(0.0)) / (4 * m * m), 6)).otherwise(F.lit(float("nan"))).alias("q"))
 
 
+def drawn_number(*parts: Column) -> Column:
+    """60 bits of a digest of these parts; the same in any SQL engine with md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 15), 16, 10).cast("long")
+
+
 def bootstrap(rows: DataFrame, value: str, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """Mean and 95 % interval over resamples, each row drawn Poisson(1) times a resample.
+    """n, the mean and its 95 % interval over resamples of n rows, drawn with replacement.
+
+    Each draw of each resample picks a row by its place among all values, so equal
+    rows are drawn independently and a row can be drawn any number of times. What a
+    resample adds up are counts of places. A null value is no row.
+    """
+    own = numbered(rows.select(F.col(value).cast("double").alias("v")).filter("v is not null"), ["v"])
+    n = own.count()
+    picks = rows.sparkSession.range(n * draws).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.pmod(drawn_number(F.lit(seed), F.col("id")), F.lit(max(n, 1))).alias("place"))
+    times = picks.groupBy("draw", "place").agg(F.count("*").alias("k"))
+    means = times.join(own, "place").groupBy("draw").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
+    ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    return own.agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ends, F.lit(True), "left").select("n", F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
 
-    Poisson draws need no resample to see all rows: each row adds to every
-    resample's sum by itself, and only draws x 2 numbers are shuffled.
+def permuted(labels: DataFrame, item: str, replicates: int = 30, seed: int = 1) -> DataFrame:
+    """replicate, item and the label columns of another item: in each replicate a seeded permutation of all labels.
+
+    Items are numbered once in their order, and once a replicate in a random one; each
+    takes the labels of the item that has its number there. Items are unique.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "_row", "draw"), F.lit(1 << 30)) / float(1 << 30)
-    times, at, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        at += term
-        times = times + F.when(u >= at, 1).otherwise(0)
-        term /= k + 1
-    drawn = rows.select(F.col(value).alias("v"), F.xxhash64(*rows.columns).alias("_row")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", times)
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum("k")).alias("mean"))
-    return means.agg(F.avg("mean").alias("mean"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    own = cut(numbered(labels, [item]))
+    n = own.count()
+    each = own.drop("place").withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).withColumn("_key", drawn_number(F.lit(seed), F.col("replicate"), F.col(item)))
+    dealt = numbered(each, ["replicate", "_key", item]).withColumn("place", F.col("place") - F.col("replicate") * n).drop("_key", item)
+    return dealt.join(own.select(item, "place"), "place").drop("place")
+
+
+def modularity_of_replicates(weights: DataFrame, shares: DataFrame) -> DataFrame:
+    """replicate and q of the soft groups of each replicate. weights: a, b, weight, the same for all; shares: replicate, item, group, share."""
+    total = weights.agg(F.sum("weight").alias("m"))
+    a = shares.select("replicate", F.col("item").alias("a"), "group", F.col("share").alias("sa"))
+    b = shares.select("replicate", F.col("item").alias("b"), "group", F.col("share").alias("sb"))
+    inside = weights.join(a, "a").join(b, ["replicate", "b", "group"]).groupBy("replicate").agg(F.sum(F.col("weight") * F.col("sa") * F.col("sb")).alias("inside"))
+    ends = weights.select(F.col("a").alias("item"), "weight").unionByName(weights.select(F.col("b").alias("item"), "weight")).groupBy("item").agg(F.sum("weight").alias("k"))
+    k = ends.join(shares, "item").groupBy("replicate", "group").agg(F.sum(F.col("k") * F.col("share")).alias("k")).groupBy("replicate").agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
+    met = shares.select("replicate").distinct().join(inside, "replicate", "left").join(k, "replicate", "left").join(total, F.lit(True))
+    m = F.col("m")
+    return met.select("replicate", F.when(m > 0, F.coalesce("inside", F.lit(0.0)) / m - F.coalesce("kk", F.lit(0.0)) / (4 * m * m)).otherwise(F.lit(float("nan"))).alias("q"))
+
+
+def hard(labels: DataFrame) -> DataFrame:
+    """Labels (item, group) as shares of 1."""
+    return labels.withColumn("share", F.lit(1.0))
+
+
+def file_shares(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Shares of each file's lines by group; labels: keys, file, group, lines."""
+    lines = labels.groupBy(*keys, "file", "group").agg(F.sum("lines").alias("lines"))
+    whole = lines.groupBy(*keys, "file").agg(F.sum("lines").alias("_all"))
+    return lines.join(whole, [*keys, "file"]).select(*keys, F.col("file").alias("item"), "group", (F.col("lines") / F.col("_all")).alias("share"))

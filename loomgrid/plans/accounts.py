@@ -152,9 +152,79 @@ def paired_difference(spark, d):
     return sums("view").join(sums("click"), "task").select("task", (F.col("_view") - F.col("_click")).alias("difference"))
 
 
-@query()
+_DRAWN = "('0x' || substr(md5({}), 1, 15))::bigint"
+
+
+@query(
+    f"""with v as (select tokens::double as v, row_number() over (order by tokens) - 1 as place, count(*) over () as n from task_events), n as (select count(*) as n from v),
+    p as (select id // n as draw, {_DRAWN.format("'7|' || id")} % n as place from n, range((select n * 200 from n)) t(id)), m as (select draw, avg(v) as mean from p join v using (place) group by draw)
+    select (select n from n) as n, round((select avg(v) from v), 4) as mean, round(quantile_cont(mean, 0.025), 4) as low, round(quantile_cont(mean, 0.975), 4) as high from m""",
+    "task_events",
+)
 def bootstrap_ci(spark, d):
-    return account.bootstrap(view(spark, d, "task_events").select("event_id", F.col("tokens").cast("double").alias("tokens")), "tokens", 200)
+    """The mean of all events' tokens, with an interval from 200 resamples."""
+    return account.bootstrap(view(spark, d, "task_events").select("tokens"), "tokens", 200)
+
+
+_LABELS = "select unit, node as \"group\" from membership"
+_Q = "coalesce(inside, 0) / m - coalesce(kk, 0) / (4 * m * m)"
+
+
+@query(
+    f"""with pairs as (select least("from", "to") as a, greatest("from", "to") as b, sum(count)::double as weight from unit_links group by 1, 2), l as ({_LABELS}), o as (select unit, "group", row_number() over (order by unit) as place from l),
+    r as (select r, unit, "group", row_number() over (partition by r order by {_DRAWN.format("'1|' || r || '|' || unit")}, unit) as place from o, range(30) t(r)),
+    s as (select r, o.unit, r."group" from r join o using (place) union all select -1, unit, "group" from l),
+    k as (select r, sum(k * k) as kk from (select r, "group", sum(weight) as k from (select a as unit, weight from pairs union all select b, weight from pairs) join s using (unit) group by 1, 2) group by r),
+    i as (select x.r, sum(weight) as inside from pairs join s x on x.unit = a join s y on y.unit = b and y.r = x.r and y."group" = x."group" group by x.r), m as (select sum(weight) as m from pairs),
+    q as (select r, {_Q} as q from (select distinct r from s) left join k using (r) left join i using (r), m)
+    select round((select q from q where r = -1), 6) as q, round((select avg(q) from q where r >= 0), 6) as rand, (select count(distinct "group") from l) as "groups", (select m from m) as edge_weight""",
+    "membership", "unit_links",
+)
+def modularity_b1(spark, d):
+    """Modularity of the leaf groups over call weights, and its mean over 30 permutations of the labels."""
+    from loomgrid.sources.corpus import membership, unit_links
+
+    links = unit_links(spark, d)
+    pairs = links.groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.sum("count").cast("double").alias("weight"))
+    labels = membership(spark, d).select(F.col("unit").alias("item"), F.col("node").alias("group"))
+    every = account.permuted(labels, "item").unionByName(labels.withColumn("replicate", F.lit(-1).cast("long")))
+    found = account.modularity_of_replicates(pairs, account.hard(every))
+    own = found.agg(F.round(F.max(F.when(F.col("replicate") < 0, F.col("q"))), 6).alias("q"), F.round(F.avg(F.when(F.col("replicate") >= 0, F.col("q"))), 6).alias("rand"))
+    return own.join(labels.agg(F.count_distinct("group").alias("groups")), F.lit(True)).join(pairs.agg(F.sum("weight").alias("edge_weight")), F.lit(True))
+
+
+_HELD = "select id as unit, ordinal % 50 as file, 'g' || (ordinal // 3 % 6) as \"group\", size as lines from units"
+
+
+@query(
+    f"""with {_FILES}, pairs as (select a.file as a, b.file as b, round(sum(1.0e0 / (n - 1)), 6) as weight from f a join s using (commit_id) join f b using (commit_id) where a.file < b.file group by 1, 2),
+    held as ({_HELD}), o as (select *, row_number() over (order by unit) as place from held),
+    r as (select r, "group", row_number() over (partition by r order by {_DRAWN.format("'1|' || r || '|' || unit")}, unit) as place from o, range(30) t(r)),
+    units_r as (select r, o.file, r."group", o.lines from r join o using (place) union all select -1, file, "group", lines from held),
+    shares as (select r, file, "group", sum(lines) / sum(sum(lines)) over (partition by r, file)::double as share from units_r group by 1, 2, 3),
+    best as (select file, "group", row_number() over (order by file) as place from (select file, "group", row_number() over (partition by file order by sum(lines) desc, "group") as n from held group by file, "group") where n = 1),
+    rf as (select r, "group", row_number() over (partition by r order by {_DRAWN.format("'2|' || r || '|' || file")}, file) as place from best, range(30) t(r)),
+    every as (select r, file as item, "group", share from shares union all select 100 + r, best.file, rf."group", 1.0 from rf join best using (place)),
+    k as (select r, sum(k * k) as kk from (select r, "group", sum(weight * share) as k from (select a as item, weight from pairs union all select b, weight from pairs) join every using (item) group by 1, 2) group by r),
+    i as (select x.r, sum(weight * x.share * y.share) as inside from pairs join every x on x.item = a join every y on y.item = b and y.r = x.r and y."group" = x."group" group by x.r), m as (select sum(weight) as m from pairs),
+    q as (select r, {_Q} as q from (select distinct r from every) left join k using (r) left join i using (r), m)
+    select round((select q from q where r = -1), 6) as q, round((select avg(q) from q where r between 0 and 99), 6) as rand_unit, round((select avg(q) from q where r >= 100), 6) as rand_file, (select count(distinct "group") from held) as "groups", round((select m from m), 3) as pair_weight""",
+    "commit_files", "units",
+)
+def modularity_b2(spark, d):
+    """Modularity of files that change together, by their units' labels, and its means over permutations of units' and of files' labels."""
+    pairs = account.cochange(view(spark, d, "commit_files").selectExpr("commit_id", "file % 50 as file"))
+    held = view(spark, d, "units").selectExpr("id as item", "ordinal % 50 as file", "'g' || (ordinal div 3 % 6) as `group`", "size as lines")
+    dealt = account.permuted(held.select("item", "group"), "item").join(held.select("item", "file", "lines"), "item")
+    every = account.file_shares(dealt.unionByName(held.withColumn("replicate", F.lit(-1).cast("long"))), ["replicate"])
+    lines = held.groupBy("file", "group").agg(F.sum("lines").alias("n"))
+    # of groups with equal lines the first name
+    best = lines.groupBy("file").agg(F.max("n").alias("_most")).join(lines, "file").filter("n = _most").groupBy(F.col("file").alias("item")).agg(F.min("group").alias("group"))
+    files = account.hard(account.permuted(best, "item", seed=2)).withColumn("replicate", F.col("replicate") + 100)
+    found = account.modularity_of_replicates(pairs, every.unionByName(files.select(*every.columns)))
+    r, mean = F.col("replicate"), lambda w: F.round(F.avg(F.when(w, F.col("q"))), 6)
+    own = found.agg(mean(r < 0).alias("q"), mean(r.between(0, 99)).alias("rand_unit"), mean(r >= 100).alias("rand_file"))
+    return own.join(held.agg(F.count_distinct("group").alias("groups")), F.lit(True)).join(pairs.agg(F.round(F.sum("weight"), 3).alias("pair_weight")), F.lit(True))
 
 
 @query("select id, path, size, kept from (select id, path, size, size % 2 = 1 as kept from units where ordinal % 5 <> 0 union all select id, path, size, false from units where ordinal % 5 = 0)", "units")
