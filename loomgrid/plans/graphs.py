@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgrid.operators import graph, tree
+from loomgrid.operators import graph, names, tree
 from loomgrid.plans.registry import query
 from loomgrid.sources.corpus import load, membership, nodes, unit_links, view
 
@@ -250,12 +250,53 @@ def depth_match(spark, d):
     return met.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("g", "depth")
 
 
-@query("select name, id, case when n > 1 then name || ' (' || n || ')' else name end as shown from (select name, id, row_number() over (partition by name order by ordinal) as n from units)", "units")
+_NAMED = "select id, regexp_extract(name, '^[^_]*') || case when ordinal % 40 = 7 then ' (mod' || (ordinal % 200) || '.py)' when ordinal % 40 = 9 then ' 2' else '' end as base, regexp_extract(path, '[^/]*$') as file from units"
+
+
+@query(
+    f"""with recursive o as (select *, row_number() over (order by id) as i from ({_NAMED})), walk as (
+      select 0::bigint as i, ''::varchar as id, ''::varchar as given, []::varchar[] as taken
+      union all
+      select o.i, o.id, g.given, list_append(taken, g.given) from walk w join o on o.i = w.i + 1, lateral (
+        select case when not list_contains(taken, o.base) then o.base when not list_contains(taken, o.base || ' (' || o.file || ')') then o.base || ' (' || o.file || ')'
+          else (select o.base || ' (' || o.file || ') ' || min(n) from range(2, 400) t(n) where not list_contains(taken, o.base || ' (' || o.file || ') ' || n)) end as given) g)
+    select id, given from walk where i > 0""",
+    "units",
+)
 def display_names(spark, d):
-    from pyspark.sql import Window
+    """Every unit's name, told apart by its file and then by numbers, where another unit's own name may stand in the way."""
+    units = view(spark, d, "units")
+    tail = F.expr("case when ordinal % 40 = 7 then ' (mod' || (ordinal % 200) || '.py)' when ordinal % 40 = 9 then ' 2' else '' end")
+    return names.display_names(units.select("id", F.concat(F.regexp_extract("name", "^[^_]*", 0), tail).alias("base"), F.regexp_extract("path", "[^/]*$", 0).alias("file")))
+
 
-    n = F.row_number().over(Window.partitionBy("name").orderBy("ordinal"))
-    return view(spark, d, "units").withColumn("_n", n).select("name", "id", F.when(F.col("_n") > 1, F.concat("name", F.lit(" ("), "_n", F.lit(")"))).otherwise(F.col("name")).alias("shown"))
+@query(
+    """with o as (select id, ordinal, trim(substr(trim(regexp_replace(lower(translate(title, 'äöüÉ', 'aouE')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), '-') as base from (select id, ordinal, case when ordinal % 5 = 0 then '—' else substr(name, 1, 4 + ordinal % 7) || 'äü' end as title from units)),
+    n as (select *, row_number() over (partition by base order by ordinal) as k from o)
+    select id, case when base <> '' and k = 1 then base when base = '' then 'node-' || substr(sha1(id || '0'), 1, 5) else base || '-' || substr(sha1(id || '0'), 1, 5) end as given from n""",
+    "units",
+)
+def node_slugs(spark, d):
+    """Ids that people can read, of every unit as a node."""
+    titled = view(spark, d, "units").select("id", F.expr("case when ordinal % 5 = 0 then '—' else substr(name, 1, cast(4 + ordinal % 7 as int)) || 'äü' end").alias("title"), F.col("ordinal").alias("place"))
+    return names.slugs(titled)
+
+
+@query(
+    """with g as (select ordinal // 4 as place, list(name order by ordinal) as names from units group by 1), k as (select place, list_transform(list_filter(list_transform(names, lambda n: trim(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '-')), lambda n: n <> ''), lambda n: n) as names from g),
+    d as (select place, [names[i] for i in range(1, len(names) + 1) if list_position(names, names[i]) = i] as names from k),
+    p as (select place, names, [string_split(n, '-') for n in names] as parts from d),
+    s as (select place, parts, case when len(parts) > 1 then coalesce(list_max([j for j in range(1, list_min([len(x) for x in parts])) if len(list_distinct([x[1:j] for x in parts])) = 1]), 0) else 0 end as shared from p),
+    b as (select place, array_to_string([array_to_string(x[shared + 1:], '-') for x in parts[1:3]], '-and-') as base from s),
+    c as (select place, case when length(base) > 48 then regexp_replace(coalesce(nullif(regexp_replace(base[1:48], '-[^-]*$', ''), ''), base[1:48]), '-and$', '') else base end as base from b)
+    select place, 'grp:' || base || case when n > 1 then '-' || n else '' end as given from (select *, row_number() over (partition by base order by place) as n from c)""",
+    "units",
+)
+def group_ids(spark, d):
+    """What groups of four units are called."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"])
+    groups = view(spark, d, "units").groupBy(F.expr("ordinal div 4").alias("place")).agg(listed.alias("names")).withColumn("title", F.lit(None).cast("string"))
+    return names.group_ids(groups)
 
 
 @query("with recursive w as (select id, 'u' || (ordinal // 2) as base, 0 as depth from units where ordinal > 0 union all select w.id, 'u' || (u.ordinal // 2), depth + 1 from w join units u on u.id = w.base where u.ordinal > 0 and u.size > 5) select w.id, w.base as target, depth from (select w.*, row_number() over (partition by w.id order by depth, base) as r from w join units u on u.id = w.base where u.size <= 5) w where r = 1", "units")
