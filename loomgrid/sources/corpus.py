@@ -37,6 +37,13 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"case when l_linenumber in (3, 5, 6) or (l_linenumber = 7 and l_partkey % 8 > 1) then {repository.called('l_partkey', '(l_suppkey * 8 + l_partkey % 8)', 'l_linenumber')} when l_linenumber = 2 and l_suppkey % 2 = 1 then 'ext.lib' || (l_suppkey % 4) end as outside",
         ],
     ),
+    "sites": (
+        "lineitem",
+        [
+            "l_orderkey * 8 + l_linenumber as node", "l_partkey as k", "'cpg' || (l_partkey % 8) as namespace", "l_suppkey % 9 as s", f"{repository.method_file('l_partkey')} as path", "l_linenumber as line",
+            *(f"{v} as {n}" for n, v in repository.sites("l_partkey", "l_suppkey % 9").items()), f"{repository.reason('l_partkey', 'l_suppkey % 9')} as expected",
+        ],
+    ),
     "tree_regions": ("region", ["'r' || r_regionkey as id", "'root' as parent", "r_name as title"]),
     "tree_nations": ("nation", ["'n' || n_nationkey as id", "'r' || n_regionkey as parent", "n_name as title"]),
     "supplier_units": ("supplier", ["'s' || s_suppkey as unit", "'n' || s_nationkey as node", "cast(round(s_acctbal * 100) as bigint) as cents"]),

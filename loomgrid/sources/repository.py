@@ -61,3 +61,25 @@ def called(k: str, t: str, v: str) -> str:
         f"when 6 then 'c' || ({t} % 700) || ':void' else 'System.Console.Write:void(String)' end"
     )
     return f"case when {v} in (3, 4) then {method(t)} when {v} = 5 then {special} when {v} = 6 then {member} when {v} = 7 and {t} % 4 = 0 then '<unresolvedNamespace>.m' when {v} = 7 and {k} % 8 in (0, 1) then '' when {v} = 7 then 'lib.use' || ({t} % 5) else 'any' end"
+
+
+def sites(k: str, s: str) -> dict[str, str]:
+    """What an analyzer writes of a call in method k, in the form s of nine; the first six are no calls in most languages."""
+    by = lambda *cases: "case " + " ".join(f"when {w} then {v}" for w, v in cases)
+    lang = f"{k} % 8"
+    return {
+        "name": by((f"{s} = 0", "'<operator>.assignment'"), (f"{s} = 1", "'tmp' || ({k} % 5) || '.x'".replace("{k}", k)), (f"{s} = 3 and {lang} = 6", "'MAX'"), (f"{s} = 4 and {lang} = 6", "'int'"), (f"{s} = 4 and {lang} in (0, 1)", "'__iter__'"), (f"{s} in (3, 5) and {lang} = 2", "'require'"), (f"{s} = 3 and {lang} = 3", "'int32'"), (f"{s} = 4 and {lang} = 3", "''"), (f"{s} = 3 and {lang} = 4", "'<body>'")) + " else 'use' end",
+        "code": by((f"{s} = 3 and {lang} in (0, 1)", "'enter_tmp3()'"), (f"{s} = 5 and {lang} in (0, 1)", "'deco(x)'"), (f"{s} = 4 and {lang} = 2", "'_iterator_2.next()'"), (f"{s} = 4 and {lang} = 3", "'[]byte(s)'"), (f"{s} = 5 and {lang} in (3, 6)", "'T{1}'")) + " else 'use()' end",
+        "full": by((f"{s} = 2", "'ANY.ANY:x'"), (f"{s} = 4 and {lang} = 6", "'int.int:f'"), (f"{s} = 5 and {lang} = 6", "'struct.struct:S'"), (f"{s} = 4 and {lang} in (0, 1)", "'<unknownFullName>'"), (f"{s} = 4 and {lang} = 3", "'byte.'"), (f"{s} = 5 and {lang} = 3", "'T.<init>'")) + " else 'a.use' end",
+        "caller": f"case when {s} = 5 and {lang} in (0, 1) then 'm.py:<module>' else 'f' end",
+        "source_code": f"case when {s} = 3 and {lang} = 2 then 'import a from b' else '' end",
+    }
+
+
+def reason(k: str, s: str) -> str:
+    """Why such a site is no call."""
+    lang = f"{k} % 8"
+    return (
+        f"case when {s} = 0 then 'operator' when {s} in (1, 2) then 'synthetic' when {lang} = 6 and {s} = 3 then 'macro' when {lang} = 6 and {s} = 4 then 'type_conversion' when {lang} in (3, 6) and {s} = 5 then 'literal' "
+        f"when {lang} in (0, 1) and {s} in (3, 4, 5) then 'synthetic' when {lang} = 2 and {s} = 3 then 'import_statement' when {lang} = 2 and {s} = 4 then 'synthetic' when {lang} = 3 and {s} in (3, 4) then 'type_conversion' when {lang} = 4 and {s} = 3 then 'synthetic' end"
+    )
