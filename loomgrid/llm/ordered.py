@@ -14,11 +14,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Files a core of a table that cuts lineage.
+FILES = 4
 #: Bytes of an Arrow batch; a row of more goes alone.
 BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -50,10 +51,14 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the folder all executors share; it goes when the driver ends."""
+    """The same rows, read back from a table in the folder all executors share; it goes when the driver ends.
+
+    At most FILES files a core are written: tasks that end in a table take several
+    partitions, one after another, rather than write a file for each.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/loomgrid-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.coalesce(FILES * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
@@ -70,11 +75,12 @@ def ranked(df: DataFrame, group: str, order: Sequence[str], sums: Sequence[str]
     Adds rank (rows before it), group_rows, and before_X and all_X for each X of
     sums. Rows that tie in group and order keep an arbitrary but fixed order.
     """
-    fields = [*df.schema.fields, T.StructField("_part", T.LongType(), False), T.StructField("rank", T.LongType(), False), *(T.StructField(f"before_{c}", T.LongType(), False) for c in sums)]
-    keys = [group, *order]
+    # the partition of the deal, whichever task it is worked out in
+    dealt = df.repartitionByRange(parts(df), *[group, *order]).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id().cast("long"))
+    fields = [*dealt.schema.fields, T.StructField("rank", T.LongType(), False), *(T.StructField(f"before_{c}", T.LongType(), False) for c in sums)]
 
     def scan(batches):
-        part, last = TaskContext.get().partitionId(), None
+        last = None
         carry = dict.fromkeys(["rank", *sums], 0)
         for batch in batches:
             n = batch.num_rows
@@ -95,9 +101,9 @@ def ranked(df: DataFrame, group: str, order: Sequence[str], sums: Sequence[str]
                 carry[c] = int(before[-1] + value[-1])
                 out.append(pa.array(before, pa.int64()))
             last = words[int(code[-1])].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part), pa.int64()), *out], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[f.name for f in fields])
 
-    local = cut(df.repartitionByRange(parts(df), *keys).sortWithinPartitions(*keys).mapInArrow(scan, T.StructType(fields)))
+    local = cut(dealt.mapInArrow(scan, T.StructType(fields)))
     ends = local.groupBy("_part", group).agg(F.count("*").alias("_n_rank"), *(F.sum(c).alias(f"_n_{c}") for c in sums))
     mine = Window.partitionBy(group)
     past = mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
