@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from loomgrid.llm.ordered import cut, ranked
 
 SHARDS, SEED = 8, "shard-1"
+#: Rows of one text that are joined under one key.
+SPLIT = 4096
 
 
 def seeded(seed: str, *cols: str):
@@ -48,10 +50,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
     groups = rows.groupBy("_text").agg(F.min("_source").alias("_home"), F.count("*").alias("_n"))
     within = ranked(groups, "_home", ["_text"], ["_n"])
     dealt = within.select("_text", "_home", "_n", ((2 * F.col("before__n") + F.col("_n")) / (2 * F.col("all__n"))).alias("_share"), F.lit("all").alias("_all"))
-    placed = ranked(dealt, "_all", ["_share", "_home", "_text"], ["_n"]).select("_text", "_n", F.col("before__n").alias("_at"), F.col("all__n").alias("_total"))
-    met = rows.join(placed, "_text")
-    # a row's place in its group; most are alone in theirs
-    more = ranked(met.filter("_n > 1").withColumn("_name", F.col("_text").cast("string")), "_name", ["_row", "doc_id"]).withColumn("_p", F.col("_at") + F.col("rank"))
-    out = met.filter("_n = 1").withColumn("_p", F.col("_at")).unionByName(more.select(*met.columns, "_p"))
+    placed = ranked(dealt, "_all", ["_share", "_home", "_text"], ["_n"]).select("_text", F.col("before__n").alias("_at"), F.col("all__n").alias("_total"), F.explode(F.expr(f"sequence(0L, (_n - 1) div {SPLIT})")).alias("_piece"))
+    # a row's place in its group; pieces of a group meet copies of its one row
+    own = ranked(rows.withColumn("_name", F.col("_text").cast("string")), "_name", ["_row", "doc_id"]).withColumn("_piece", F.expr(f"rank div {SPLIT}"))
+    out = own.join(placed, ["_text", "_piece"]).withColumn("_p", F.col("_at") + F.col("rank"))
     shard, first = F.expr(f"_p * {shards} div _total"), F.expr(f"(shard * _total + {shards - 1}) div {shards}")
     return out.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_p") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
