@@ -20,8 +20,8 @@ Positions are code points, end exclusive. Split and the extraction of all matche
 run the same leftmost search, so the pieces between matches give their positions.
 
 Defined results: a null text is empty and has no spans. Repeated rows are scanned
-each. An empty table gives no rows. Extra columns are ignored. Spans of the
-method that equal a base span are left out; others may overlap one.
+each. Very long texts are scanned whole, in time linear in their length. An empty
+table gives no rows. Extra columns are ignored. Spans of the method that equal a base span are left out; others may overlap one.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def positions(text: Column, pattern: str, group: int = 0, least: int = 1, block: int = 64) -> Column:
-    """start and end of each match whose group is long enough.
+    """start, end and text of each match whose group is long enough; the text comes from the search, as cutting it out would walk to it from the text's start.
 
     Prefix sums go by blocks, so that a text of many matches takes no quadratic time.
     """
@@ -75,7 +75,7 @@ def positions(text: Column, pattern: str, group: int = 0, least: int = 1, block:
                     lambda z: F.filter(
                         F.transform(z["m"], lambda x, i: let(
                             F.get(z["base"], F.floor(i / block).cast("int")) + total(F.slice(z["step"], F.floor(i / block).cast("int") * block + 1, i % block)) + F.get(z["gap"], i),
-                            lambda s: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), (F.length(F.get(z["g"], i)) >= least).alias("ok")))),
+                            lambda s: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), x.alias("text"), (F.length(F.get(z["g"], i)) >= least).alias("ok")))),
                         lambda s: s["ok"]),
                 ),
             ),
@@ -84,12 +84,17 @@ def positions(text: Column, pattern: str, group: int = 0, least: int = 1, block:
     def total(array: Column) -> Column:
         return F.aggregate(array, F.lit(0), lambda a, x: a + x)
 
-    none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
+    none = F.array().cast("array<struct<start:int,end:int,text:string,ok:boolean>>")
     found = let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("p"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m).alias("g")), place)),
     )
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+
+
+def places(spans: Column) -> Column:
+    """start and end alone."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def above(z: Column) -> Column:
@@ -146,15 +151,15 @@ def tested(text: Column) -> Column:
             size = F.floor(2 * F.log2(F.length(t) / 20)).cast("int")
             return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.when(keep, F.concat_ws(":", name, size)).alias("class"), F.when(keep, p).otherwise(F.lit(0.0)).alias("p"))
 
-        return let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), judged)
+        return let(span["text"], judged)
 
     def candidates(span: Column) -> Column:
         def parts(t: Column) -> Column:
             found = F.array_distinct(F.concat(*(positions(t, pattern) for pattern in PARTS)))
-            moved = F.transform(found, lambda x: F.struct((span["start"] + x["start"]).alias("start"), (span["start"] + x["end"]).alias("end")))
-            return F.when(t.rlike("[+/]") & t.rlike("[_-]"), moved).otherwise(F.array(F.struct(span["start"].alias("start"), span["end"].alias("end"))))
+            moved = F.transform(found, lambda x: F.struct((span["start"] + x["start"]).alias("start"), (span["start"] + x["end"]).alias("end"), x["text"].alias("text")))
+            return F.when(t.rlike("[+/]") & t.rlike("[_-]"), moved).otherwise(F.array(F.struct(span["start"].alias("start"), span["end"].alias("end"), t.alias("text"))))
 
-        return let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), parts)
+        return let(span["text"], parts)
 
     return F.filter(F.transform(F.flatten(F.transform(positions(text, CANDIDATE), candidates)), one), lambda s: s["class"].contains(":") & s["p"].isNotNull())
 
@@ -180,7 +185,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id and spans, an array of kind, start and end by start, then kind: base kinds as listed, then the added one."""
     least = levels(docs, rate)
     text = F.coalesce(F.col("text"), F.lit(""))
-    arrays = [positions(text, pattern, group, size).alias(name) for name, pattern, group, size in KINDS]
+    arrays = [places(positions(text, pattern, group, size)).alias(name) for name, pattern, group, size in KINDS]
     if least:
         table = F.create_map(*(x for k, v in sorted(least.items()) for x in (F.lit(k), F.lit(v))))
         random = F.transform(F.filter(tested(text), lambda s: s["p"] >= F.coalesce(F.element_at(table, s["class"]), F.lit(2.0))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))

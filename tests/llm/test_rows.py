@@ -290,3 +290,19 @@ def test_texts_survive_packing(spark):
     packed = mixing.recoded(df, "t", True)
     assert [f.dataType.typeName() for f in packed.schema] == ["integer", "binary"]
     assert sorted((r.n, r.t) for r in mixing.recoded(packed, "t", False).collect()) == list(enumerate(texts))
+
+
+def test_secrets_of_a_long_text_take_no_quadratic_time(spark):
+    """1.2 MB of random lines; cutting each token out of the text by its place took minutes."""
+    import random
+    import time
+
+    rng = random.Random(7)
+    b64 = secrets.ENCODINGS[6][1]
+    lines = ["".join(rng.choice(b64) for _ in range(76)) for _ in range(16_000)]
+    df = spark.createDataFrame([(1, "é " + "\n".join(lines))], "doc_id long, text string")
+    began = time.perf_counter()
+    found = secrets.scan(df).first().spans
+    assert time.perf_counter() - began < 150 and len(found) > 14_000
+    text = "é " + "\n".join(lines)
+    assert all(len(text[s.start : s.end]) >= 20 and "\n" not in text[s.start : s.end] for s in found)
