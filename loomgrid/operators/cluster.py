@@ -6,9 +6,11 @@ import math
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.rounds import cut
+
 
 def weighted_graph(links: DataFrame, callers: DataFrame, text: DataFrame) -> DataFrame:
     """a < b and weight: (1 + ln count) / ln(e + callers of the target) for links, half the cosine for text, summed.
@@ -105,19 +107,36 @@ def batches(files: DataFrame, most: int) -> DataFrame:
     return files.groupBy("area").applyInPandas(run, "area string, path string, tokens long, batch long")
 
 
-def merge_small(groups: list[tuple[str, int]], ties: dict[tuple[str, str], float], least: int, most: int) -> dict[str, str]:
-    """Smallest group first: one below least joins the group it is most tied to that has room."""
-    size, into = dict(groups), {g: g for g, _ in groups}
-    for g in sorted(size, key=lambda g: (size[g], g)):
-        if size[g] >= least or into[g] != g:
-            continue
-        room = [(ties.get((min(g, h), max(g, h)), 0.0), -size[h], h) for h in size if h != g and into[h] == h and size[h] + size[g] <= most]
-        tied = [x for x in room if x[0] > 0]
-        if tied:
-            h = max(tied)[2]
-            into[g], size[h] = h, size[h] + size[g]
-    root = lambda g: g if into[g] == g else root(into[g])
-    return {g: root(g) for g in into}
+def merged_small(sizes: DataFrame, ties: DataFrame, least: int, most: int) -> DataFrame:
+    """group and merged: groups below `least` join the group they are most tied to that has room for both in `most`.
+
+    sizes: group, n; ties: a, b, weight. In rounds: every small group asks its best tie,
+    of equal ones the smaller, then the lesser name; a group takes the one that is most
+    tied to it, unless it goes itself; of two that ask each other the lesser stays.
+    """
+    into, now = sizes.select("group", F.col("group").alias("merged")), cut(sizes.select("group", "n"))
+    tied = ties.filter("a <> b").select(F.col("a").alias("g"), F.col("b").alias("h"), "weight").unionByName(ties.filter("a <> b").select(F.col("b").alias("g"), F.col("a").alias("h"), "weight"))
+    tied = cut(tied.groupBy("g", "h").agg(F.sum("weight").alias("weight")).filter("weight > 0"))
+    while True:
+        g, h = now.select(F.col("group").alias("g"), F.col("n").alias("gn")), now.select(F.col("group").alias("h"), F.col("n").alias("hn"))
+        room = tied.join(g.filter(F.col("gn") < least), "g").join(h, "h").filter(F.col("gn") + F.col("hn") <= most)
+        best = Window.partitionBy("g").orderBy(F.desc("weight"), "hn", "h")
+        asks = cut(room.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("g", "h", "weight", "gn"))
+        if asks.isEmpty():
+            return into
+        # who stays: of a pair that ask each other the lesser, and everybody that asks nobody
+        mutual = asks.select(F.col("h").alias("g"), F.col("g").alias("h"), F.lit(True).alias("_mutual"))
+        leaving = asks.join(mutual, ["g", "h"], "left").filter("_mutual is null or g > h")
+        free = leaving.join(leaving.select(F.col("g").alias("h"), F.lit(True).alias("_goes")), "h", "left").filter("_goes is null").drop("_goes")
+        # a ring of groups that all ask the next: the least stays
+        free = free if not free.isEmpty() else leaving.join(leaving.agg(F.min("g").alias("h")), "h")
+        first = Window.partitionBy("h").orderBy(F.desc("weight"), "gn", "g")
+        moves = cut(free.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("g", "h"))
+        into = cut(into.join(moves.select(F.col("g").alias("merged"), F.col("h").alias("_h")), "merged", "left").select("group", F.coalesce("_h", "merged").alias("merged")))
+        moved = now.join(moves.select(F.col("g").alias("group"), F.col("h").alias("_h")), "group", "left").select(F.coalesce("_h", "group").alias("group"), "n")
+        now = cut(moved.groupBy("group").agg(F.sum("n").alias("n")))
+        a, b = moves.select("g", F.col("h").alias("_g")), moves.select(F.col("g").alias("h"), F.col("h").alias("_h"))
+        tied = cut(tied.join(a, "g", "left").join(b, "h", "left").select(F.coalesce("_g", "g").alias("g"), F.coalesce("_h", "h").alias("h"), "weight").filter("g <> h").groupBy("g", "h").agg(F.sum("weight").alias("weight")))
 
 
 def partition_check(answers: DataFrame, members: DataFrame) -> DataFrame:

@@ -67,20 +67,10 @@ def batch_plan(spark, d):
 @query()
 def shape_repair(spark, d):
     """Nations' unit counts, small ones merged into those they are most tied to."""
-    sizes = membership(spark, d).groupBy("node").agg(F.count("*").alias("n"))
+    sizes = membership(spark, d).groupBy(F.col("node").alias("group")).agg(F.count("*").alias("n"))
     ties = _nation_graph(spark, d).select("a", "b", "weight")
-    both = sizes.select(F.lit(0).alias("k"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.col("n").cast("double").alias("x")).unionByName(ties.select(F.lit(0).alias("k"), "a", "b", F.col("weight").alias("x")))
-
-    def run(key, rows):
-        import pandas as pd
-
-        alone = rows["b"].isna()
-        groups = list(zip(rows[alone]["a"], rows[alone]["x"].astype(int), strict=True))
-        tied = {(a, b): w for a, b, w in zip(rows[~alone]["a"], rows[~alone]["b"], rows[~alone]["x"], strict=True)}
-        least = sorted(n for _, n in groups)[len(groups) // 3]
-        return pd.DataFrame(sorted(cluster.merge_small(groups, tied, least, 4 * least).items()), columns=["group", "merged"])
-
-    return both.groupBy("k").applyInPandas(run, "`group` string, merged string")
+    least = sizes.agg(F.percentile("n", F.lit(1 / 3)).cast("long")).first()[0]
+    return cluster.merged_small(sizes, ties, least, 4 * least)
 
 
 @query(

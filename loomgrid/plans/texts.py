@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from loomgrid.functions import prose, text
+from loomgrid.functions import numstat, prose
 from loomgrid.plans.registry import query
-from loomgrid.sources.corpus import view
+from loomgrid.sources.corpus import load, view
 
 # every sentence is followed by a line with a link and a code span, and by a fence that opens or closes
 _MARKED = "replace(replace(replace(replace(replace(replace(source, '`', ''), '~~~', ''), chr(9), ' '), chr(13), ' '), '    ', ' '), '. ', '.' || chr(10) || 'see [a](b) and `x](y)` too' || chr(10) || '```' || chr(10))"
@@ -21,3 +21,16 @@ def literal_links(spark, d):
 def prose_for_links(spark, d):
     """The prose of every file alone."""
     return view(spark, d, "files").select("ordinal", F.md5(prose.prose_only(F.expr(_MARKED))).alias("digest"))
+
+
+@query(
+    "select 'c' || l_orderkey as sha, 'change ' || (l_orderkey % 7) as subject, case when l_linenumber % 3 = 2 then 'new/' else '' end || 'f' || l_partkey || '.py' as path, sum(cast(l_quantity as bigint) + l_linenumber)::bigint as lines, min(case when l_linenumber % 3 = 2 then 'f' || l_partkey || '.py' end) as renamed_from from lineitem where l_linenumber <> 4 group by all"
+)
+def numstat_rows(spark, d):
+    """Changed lines per path of every order's lines as a commit, with renames and binary files."""
+    path, old = F.expr("concat('f', l_partkey, '.py')"), F.col("l_linenumber") % 3 == 2
+    counts = F.when(F.col("l_linenumber") == 4, F.lit("-\t-\t")).otherwise(F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("\t"), F.col("l_linenumber").cast("string"), F.lit("\t")))
+    record = F.concat(F.lit("\n"), counts, F.when(old, F.concat(F.lit("\0"), path, F.lit("\0new/"), path)).otherwise(path))
+    rows = load(spark, d, "lineitem").select("l_orderkey", record.alias("r"))
+    blocks = rows.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("r")), "\0").alias("r"))
+    return numstat.numstat(blocks.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string"), F.expr("concat('\tchange ', l_orderkey % 7)"), F.lit("\0"), "r", F.lit("\0")).alias("block")))

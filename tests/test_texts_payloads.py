@@ -71,3 +71,11 @@ def test_a_payload(spark):
     assert omitted == {"call:import_statement": 1, "call:synthetic": 1, "cfg_edge_without_node": 1, "calls_without_owner": 4}
     assert normalised(spark, '{"methods": [', ["a.ts"]) == ({}, {}, {"unreadable": 1})
     assert normalised(spark, {}, []) == ({}, {}, {})
+
+
+def test_numstat(spark):
+    from loomgrid.functions.numstat import numstat
+
+    blocks = ["a1\tone: two\0\n3\t4\tx.py\0" + "1\t0\t\0old\tname\0new name\0" + "-\t-\tlogo.png\0" + "2\t2\tx.py\0", "b2\tempty", "c3\t\0\n0\t0\tz\n9\0junk\0" + "5\t1\t\0gone", None]
+    got = sorted(map(tuple, numstat(spark.createDataFrame([(b,) for b in blocks], "block string")).collect()))
+    assert got == [("a1", "one: two", "new name", 1, "old\tname"), ("a1", "one: two", "x.py", 11, None), ("c3", "", "", 6, "gone"), ("c3", "", "z\n9", 0, None)]
