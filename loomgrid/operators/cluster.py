@@ -128,8 +128,8 @@ def merged_small(sizes: DataFrame, ties: DataFrame, least: int, most: int) -> Da
         mutual = asks.select(F.col("h").alias("g"), F.col("g").alias("h"), F.lit(True).alias("_mutual"))
         leaving = asks.join(mutual, ["g", "h"], "left").filter("_mutual is null or g > h")
         free = leaving.join(leaving.select(F.col("g").alias("h"), F.lit(True).alias("_goes")), "h", "left").filter("_goes is null").drop("_goes")
-        # a ring of groups that all ask the next: the least stays
-        free = free if not free.isEmpty() else leaving.join(leaving.agg(F.min("g").alias("h")), "h")
+        # where all that are asked go themselves, as in a ring, the least of them stays
+        free = free if not free.isEmpty() else leaving.join(leaving.agg(F.min("h").alias("h")), "h")
         first = Window.partitionBy("h").orderBy(F.desc("weight"), "gn", "g")
         moves = cut(free.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("g", "h"))
         into = cut(into.join(moves.select(F.col("g").alias("merged"), F.col("h").alias("_h")), "merged", "left").select("group", F.coalesce("_h", "merged").alias("merged")))

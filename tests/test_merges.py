@@ -22,7 +22,7 @@ def merged(sizes, ties, least, most):
         if not asks:
             return into
         leaving = {g: a for g, a in asks.items() if not (asks.get(a[2], (0, 0, None))[2] == g and g < a[2])}
-        free = {g: a for g, a in leaving.items() if a[2] not in leaving} or {g: a for g, a in leaving.items() if a[2] == min(leaving)}
+        free = {g: a for g, a in leaving.items() if a[2] not in leaving} or {g: a for g, a in leaving.items() if a[2] == min(x[2] for x in leaving.values())}
         for h in {a[2] for a in free.values()}:
             g = min((a[0], size[g], g) for g, a in free.items() if a[2] == h)[2]
             into = {k: h if v == g else v for k, v in into.items()}
@@ -56,3 +56,11 @@ def test_merges_of_random_groups(spark):
     ties = [(f"g{rng.randrange(30):02}", f"g{rng.randrange(30):02}", float(rng.randint(1, 4))) for _ in range(60)]
     got = cluster.merged_small(spark.createDataFrame(sizes, "group string, n long"), spark.createDataFrame(ties, "a string, b string, weight double"), 6, 20)
     assert {r.group: r.merged for r in got.collect()} == merged(sizes, ties, 6, 20)
+
+
+def test_a_tail_into_a_ring_ends(spark):
+    """All that are asked go themselves, and the least group is asked by none."""
+    sizes = [("a", 1), ("b", 1), ("c", 1), ("d", 1)]
+    ties = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "d", 3.0), ("d", "b", 2.5)]
+    got = cluster.merged_small(spark.createDataFrame(sizes, "group string, n long"), spark.createDataFrame(ties, "a string, b string, weight double"), 9, 9)
+    assert {r.group: r.merged for r in got.collect()} == merged(sizes, ties, 9, 9)
