@@ -111,8 +111,8 @@ def merged_small(sizes: DataFrame, ties: DataFrame, least: int, most: int) -> Da
     """group and merged: groups below `least` join the group they are most tied to that has room for both in `most`.
 
     sizes: group, n; ties: a, b, weight. In rounds: every small group asks its best tie,
-    of equal ones the smaller, then the lesser name; a group takes the one that is most
-    tied to it, unless it goes itself; of two that ask each other the lesser stays.
+    of equal ones the smaller, then the lesser name; a group takes those most tied to it,
+    while it has room, unless it goes itself; of two that ask each other the lesser stays.
     """
     into, now = sizes.select("group", F.col("group").alias("merged")), cut(sizes.select("group", "n"))
     tied = ties.filter("a <> b").select(F.col("a").alias("g"), F.col("b").alias("h"), "weight").unionByName(ties.filter("a <> b").select(F.col("b").alias("g"), F.col("a").alias("h"), "weight"))
@@ -121,7 +121,7 @@ def merged_small(sizes: DataFrame, ties: DataFrame, least: int, most: int) -> Da
         g, h = now.select(F.col("group").alias("g"), F.col("n").alias("gn")), now.select(F.col("group").alias("h"), F.col("n").alias("hn"))
         room = tied.join(g.filter(F.col("gn") < least), "g").join(h, "h").filter(F.col("gn") + F.col("hn") <= most)
         best = Window.partitionBy("g").orderBy(F.desc("weight"), "hn", "h")
-        asks = cut(room.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("g", "h", "weight", "gn"))
+        asks = cut(room.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("g", "h", "weight", "gn", "hn"))
         if asks.isEmpty():
             return into
         # who stays: of a pair that ask each other the lesser, and everybody that asks nobody
@@ -130,8 +130,8 @@ def merged_small(sizes: DataFrame, ties: DataFrame, least: int, most: int) -> Da
         free = leaving.join(leaving.select(F.col("g").alias("h"), F.lit(True).alias("_goes")), "h", "left").filter("_goes is null").drop("_goes")
         # where all that are asked go themselves, as in a ring, the least of them stays
         free = free if not free.isEmpty() else leaving.join(leaving.agg(F.min("h").alias("h")), "h")
-        first = Window.partitionBy("h").orderBy(F.desc("weight"), "gn", "g")
-        moves = cut(free.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("g", "h"))
+        first = Window.partitionBy("h").orderBy(F.desc("weight"), "gn", "g").rowsBetween(Window.unboundedPreceding, 0)
+        moves = cut(free.withColumn("_full", F.col("hn") + F.sum("gn").over(first)).filter(F.col("_full") <= most).select("g", "h"))
         into = cut(into.join(moves.select(F.col("g").alias("merged"), F.col("h").alias("_h")), "merged", "left").select("group", F.coalesce("_h", "merged").alias("merged")))
         moved = now.join(moves.select(F.col("g").alias("group"), F.col("h").alias("_h")), "group", "left").select(F.coalesce("_h", "group").alias("group"), "n")
         now = cut(moved.groupBy("group").agg(F.sum("n").alias("n")))
