@@ -21,3 +21,15 @@ def test_branch_caps_of_words_beside_umlauts_and_of_no_language(spark, tmp_path)
     spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got, want = against_sql(spark, "branch_caps", tmp_path, "documents")
     assert got == want and {r[0]: r[2] for r in got} == {1: 100, 2: 100, 3: 60, 4: 60, 5: 60, 6: 100, 7: 60, 8: 100}
+
+
+def test_calls_of_one_id_ask_for_their_own_callees(spark):
+    """Facts are looked up once for each distinct list of callees, not once for each id."""
+    from loomgrid.operators import calls
+
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    methods = spark.createDataFrame([(i, f"m{i}", f"p.m{i}", "a.java") for i in range(4)], "node_id long, name string, full_name string, file string")
+    rows = [("x", [(0, None, False)]), ("x", [(1, None, False), (2, None, False)]), ("x", [(0, None, False)]), ("y", [])]
+    asked = spark.createDataFrame([(i, 3, "a.java", "any", "n", "", c) for i, c in rows], "id string, caller_id long, caller_file string, full_name string, name string, code string, callees array<struct<node_id:long,full_name:string,external:boolean>>")
+    got = calls.resolve(asked, methods, none("full_name string, name string, file string, inherits array<string>"), none("path string"), none("module string"), none("name string"))
+    assert sorted((r.id, r.basis, r.n_targets, r.target or -1) for r in got.collect()) == [("x", "callee", 1, -1), ("x", "callee", 2, -1), ("y", "none", 0, -1)]
