@@ -148,5 +148,7 @@ def partition_check(answers: DataFrame, members: DataFrame) -> DataFrame:
 
 def placed_by_overlap(left: DataFrame, groups: DataFrame) -> DataFrame:
     """Each left-out member goes to the group that holds most of its candidate; left: member, candidate; groups: group, member, candidate."""
-    counts = left.join(groups.select("group", "candidate"), "candidate").groupBy("member", "group").agg(F.count("*").alias("n"))
+    # a candidate's members are counted by group before they meet: a row a group, not a row a member
+    own, held = left.groupBy("candidate", "member").agg(F.count("*").alias("_l")), groups.groupBy("candidate", "group").agg(F.count("*").alias("_g"))
+    counts = own.join(held, "candidate").groupBy("member", "group").agg(F.sum(F.col("_l") * F.col("_g")).alias("n"))
     return counts.groupBy("member").agg(F.max_by("group", F.struct("n", F.expr("-group"))).alias("group"))

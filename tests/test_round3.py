@@ -33,3 +33,13 @@ def test_calls_of_one_id_ask_for_their_own_callees(spark):
     asked = spark.createDataFrame([(i, 3, "a.java", "any", "n", "", c) for i, c in rows], "id string, caller_id long, caller_file string, full_name string, name string, code string, callees array<struct<node_id:long,full_name:string,external:boolean>>")
     got = calls.resolve(asked, methods, none("full_name string, name string, file string, inherits array<string>"), none("path string"), none("module string"), none("name string"))
     assert sorted((r.id, r.basis, r.n_targets, r.target or -1) for r in got.collect()) == [("x", "callee", 1, -1), ("x", "callee", 2, -1), ("y", "none", 0, -1)]
+
+
+def test_overlap_of_a_large_candidate_meets_groups_not_members(spark):
+    """A candidate with 200,000 members on each side: 40 billion pairs of members, two of a member and a group."""
+    from loomgrid.operators import cluster
+
+    left = spark.range(200_000).selectExpr("id as member", "'c' as candidate")
+    groups = spark.range(200_000).selectExpr("if(id % 3 = 0, 1, 2) as `group`", "id as member", "'c' as candidate")
+    got = cluster.placed_by_overlap(left, groups).groupBy("group").count().collect()
+    assert [tuple(r) for r in got] == [(2, 200_000)]
