@@ -25,9 +25,20 @@ def tfidf_neighbours(words: DataFrame, k: int = 5, floor: float = 0.25, common:
 
 
 def jaccard_pairs(sets: DataFrame, least: float = 0.7) -> DataFrame:
-    """a < b of a Jaccard similarity of least or more; sets: id, item, distinct. Pairs meet on shared items, sizes far apart do not."""
-    size = sets.groupBy("id").agg(F.count("*").alias("n"))
-    own = sets.join(size, "id")
-    a, b = own.select(F.col("id").alias("a"), "item", F.col("n").alias("na")), own.select(F.col("id").alias("b"), "item", F.col("n").alias("nb"))
-    both = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return both.withColumn("jaccard", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6)).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    """a < b of a Jaccard similarity of least or more; sets: id, item, distinct.
+
+    Items are ordered by the number of sets that hold them. Of two sets so similar, each
+    shares one of its first n - ceil(least * n) + 1 items with the other's, so pairs meet
+    on these alone, once, and only where their sizes are near; a pair that meets compares
+    its whole sets, two arrays. Similarities are rounded to six places, so the bound is lower by half of one.
+    """
+    bound = least - 5e-7
+    often = sets.groupBy("item").agg(F.count("*").alias("_often"))
+    ranked = sets.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_often", "item"))).alias("_items"))
+    own = ranked.select("id", F.size("_items").alias("n"), F.transform("_items", lambda x: x["item"]).alias("items"))
+    heads = own.select("id", "n", F.explode(F.slice("items", F.lit(1), (F.col("n") - F.ceil(bound * F.col("n")) + 1).cast("int"))).alias("item"))
+    a, b = heads.select(F.col("id").alias("a"), "item", F.col("n").alias("na")), heads.select(F.col("id").alias("b"), "item", F.col("n").alias("nb"))
+    met = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= bound * F.greatest("na", "nb"))).select("a", "b").distinct()
+    whole = met.join(own.select(F.col("id").alias("a"), F.col("items").alias("_a")), "a").join(own.select(F.col("id").alias("b"), F.col("items").alias("_b")), "b")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return whole.withColumn("jaccard", F.round(both / (F.size("_a") + F.size("_b") - both), 6)).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")

@@ -43,3 +43,12 @@ def test_overlap_of_a_large_candidate_meets_groups_not_members(spark):
     groups = spark.range(200_000).selectExpr("if(id % 3 = 0, 1, 2) as `group`", "id as member", "'c' as candidate")
     got = cluster.placed_by_overlap(left, groups).groupBy("group").count().collect()
     assert [tuple(r) for r in got] == [(2, 200_000)]
+
+
+def test_jaccard_pairs_do_not_meet_on_an_item_of_all_sets(spark):
+    """One item is in 200,000 sets, which are else apart: 20 billion pairs share it, none is alike but the two at the end."""
+    from loomgrid.operators import text_match
+
+    sets = spark.range(200_000).selectExpr("id", "explode(array(-1, 4 * id, 4 * id + 1, 4 * id + 2)) as item")
+    more = spark.createDataFrame([(i, x) for i in (900_001, 900_002) for x in (-1, -2, -3)] + [(900_002, -4)], "id long, item long")
+    assert [tuple(r) for r in text_match.jaccard_pairs(sets.unionByName(more)).collect()] == [(900_001, 900_002, 0.75)]
