@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.operators.rounds import stored
 from loomgrid.operators.scan import LANGUAGES, canonical_path, suffix
 
 _ELEMENT = "struct<nodeId:bigint,file:string,line:bigint,label:string,ownerMethod:string>"
@@ -92,7 +93,8 @@ def normalised(payloads: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 
     payloads: namespace, payload; files: path. Calls and imports are unresolved: their resolvers take them from here.
     """
-    p = read(payloads)
+    # texts are read once, not once a list
+    p = stored(read(payloads))
     path = lambda c: canonical_path(F.coalesce(c, F.lit("")))
     none = F.lit(None).cast("string")
     methods = _each(p, "methods").select("namespace", F.when(F.col("nodeId").isNotNull(), _id("method", F.col("nodeId"))).otherwise(_id("method", F.coalesce(path(F.col("file")), F.lit("None")), F.lit(":"), F.coalesce("line", F.lit(-1)), F.lit(":"), F.coalesce("fullName", F.lit("")))).alias("id"), F.col("nodeId").alias("native"), path(F.col("file")).alias("path"), "line", F.coalesce(F.nullif("fullName", F.lit("")), "name", F.lit("")).alias("full"), "place")

@@ -52,3 +52,14 @@ def test_jaccard_pairs_do_not_meet_on_an_item_of_all_sets(spark):
     sets = spark.range(200_000).selectExpr("id", "explode(array(-1, 4 * id, 4 * id + 1, 4 * id + 2)) as item")
     more = spark.createDataFrame([(i, x) for i in (900_001, 900_002) for x in (-1, -2, -3)] + [(900_002, -4)], "id long, item long")
     assert [tuple(r) for r in text_match.jaccard_pairs(sets.unionByName(more)).collect()] == [(900_001, 900_002, 0.75)]
+
+
+def test_payload_texts_are_read_once(spark):
+    """What is made of payloads comes from stored lists, none of it reads a text again."""
+    from loomgrid.operators import payload
+
+    texts = spark.createDataFrame([("n", '{"methods": [{"nodeId": 1, "file": "a.py", "line": 2, "name": "f", "fullName": "m.f"}], "callsWithoutOwner": 2}'), ("n", "{")], "namespace string, payload string")
+    nodes, edges, omitted = payload.normalised(texts, spark.createDataFrame([("a.py",)], "path string"))
+    assert not any("from_json" in df._jdf.queryExecution().optimizedPlan().toString() for df in (nodes, edges, omitted))
+    assert [tuple(r) for r in nodes.collect()] == [("n/method/1", "method", "a.py", 2, "m.f", None)] and edges.count() == 0
+    assert sorted(map(tuple, omitted.collect())) == [("n", "calls_without_owner", 2), ("n", "unreadable", 1)]
