@@ -118,6 +118,24 @@ def modularity_of_replicates(weights: DataFrame, shares: DataFrame) -> DataFrame
     return met.select("replicate", F.when(m > 0, F.coalesce("inside", F.lit(0.0)) / m - F.coalesce("kk", F.lit(0.0)) / (4 * m * m)).otherwise(F.lit(float("nan"))).alias("q"))
 
 
+def modularity_of_labels(weights: DataFrame, labels: DataFrame) -> DataFrame:
+    """replicate and q of groups without shares. weights: a, b, weight; labels: replicate, item, group, once an item and replicate.
+
+    An item's groups in all replicates are one map, so a weight meets its two ends once
+    and not once a replicate.
+    """
+    total = weights.agg(F.sum("weight").alias("m"))
+    own = labels.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "group"))).alias("_in"))
+    a, b = own.select(F.col("item").alias("a"), F.col("_in").alias("_a")), own.select(F.col("item").alias("b"), F.col("_in").alias("_b"))
+    met = weights.join(a, "a").join(b, "b").select("weight", F.explode(F.filter(F.map_keys("_a"), lambda r: F.try_element_at("_a", r) == F.try_element_at("_b", r))).alias("replicate"))
+    inside = met.groupBy("replicate").agg(F.sum("weight").alias("inside"))
+    ends = weights.select(F.col("a").alias("item"), "weight").unionByName(weights.select(F.col("b").alias("item"), "weight")).groupBy("item").agg(F.sum("weight").alias("k"))
+    k = ends.join(labels, "item").groupBy("replicate", "group").agg(F.sum("k").alias("k")).groupBy("replicate").agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
+    found = labels.select("replicate").distinct().join(inside, "replicate", "left").join(k, "replicate", "left").join(total, F.lit(True))
+    m = F.col("m")
+    return found.select("replicate", F.when(m > 0, F.coalesce("inside", F.lit(0.0)) / m - F.coalesce("kk", F.lit(0.0)) / (4 * m * m)).otherwise(F.lit(float("nan"))).alias("q"))
+
+
 def hard(labels: DataFrame) -> DataFrame:
     """Labels (item, group) as shares of 1."""
     return labels.withColumn("share", F.lit(1.0))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgrid.operators import account, tasks
+from loomgrid.operators.rounds import stored
 from loomgrid.plans.registry import query
 from loomgrid.sources.corpus import load, membership, unit_links, view
 
@@ -185,10 +186,10 @@ def modularity_b1(spark, d):
     from loomgrid.sources.corpus import membership, unit_links
 
     links = unit_links(spark, d)
-    pairs = links.groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.sum("count").cast("double").alias("weight"))
+    pairs = stored(links.groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.sum("count").cast("double").alias("weight")))
     labels = membership(spark, d).select(F.col("unit").alias("item"), F.col("node").alias("group"))
-    every = account.permuted(labels, "item").unionByName(labels.withColumn("replicate", F.lit(-1).cast("long")))
-    found = account.modularity_of_replicates(pairs, account.hard(every))
+    every = stored(account.permuted(labels, "item").unionByName(labels.withColumn("replicate", F.lit(-1).cast("long"))))
+    found = account.modularity_of_labels(pairs, every)
     own = found.agg(F.round(F.max(F.when(F.col("replicate") < 0, F.col("q"))), 6).alias("q"), F.round(F.avg(F.when(F.col("replicate") >= 0, F.col("q"))), 6).alias("rand"))
     return own.join(labels.agg(F.count_distinct("group").alias("groups")), F.lit(True)).join(pairs.agg(F.sum("weight").alias("edge_weight")), F.lit(True))
 

@@ -63,3 +63,14 @@ def test_payload_texts_are_read_once(spark):
     assert not any("from_json" in df._jdf.queryExecution().optimizedPlan().toString() for df in (nodes, edges, omitted))
     assert [tuple(r) for r in nodes.collect()] == [("n/method/1", "method", "a.py", 2, "m.f", None)] and edges.count() == 0
     assert sorted(map(tuple, omitted.collect())) == [("n", "calls_without_owner", 2), ("n", "unreadable", 1)]
+
+
+def test_modularity_of_labels_is_that_of_shares_of_one(spark):
+    """A weight meets its ends once for all replicates; the results are those of the general form."""
+    from loomgrid.operators import account
+
+    weights = spark.range(60).selectExpr("concat('i', id % 7) as a", "concat('i', (id * 5 + 1) % 11) as b", "cast(1 + id % 3 as double) as weight")
+    labels = spark.range(33).selectExpr("id div 11 - 1 as replicate", "concat('i', id % 11) as item", "concat('g', (id * id) % 4) as `group`")
+    rounded = lambda df: sorted((r.replicate, round(r.q, 9)) for r in df.collect())
+    got = rounded(account.modularity_of_labels(weights, labels))
+    assert len(got) == 3 and got == rounded(account.modularity_of_replicates(weights, account.hard(labels)))
