@@ -74,3 +74,16 @@ def test_modularity_of_labels_is_that_of_shares_of_one(spark):
     rounded = lambda df: sorted((r.replicate, round(r.q, 9)) for r in df.collect())
     got = rounded(account.modularity_of_labels(weights, labels))
     assert len(got) == 3 and got == rounded(account.modularity_of_replicates(weights, account.hard(labels)))
+
+
+def test_equal_declarations_are_resolved_once(spark, monkeypatch):
+    """1,000 rows of one declaration ask as one row; each has its result."""
+    from loomgrid.operators import imports
+
+    asked, seen = imports.asked, []
+    monkeypatch.setattr(imports, "asked", lambda rows, roots: seen.append(rows.count()) or asked(rows, roots))
+    rows = spark.range(1_000).selectExpr("concat('d', id) as id", "'a/b.rb' as path", "'require_relative \"c\"' as expression").unionByName(spark.createDataFrame([("x", None, None), ("y", "", None), ("y", "", None)], "id string, path string, expression string"))
+    files = spark.createDataFrame([("a/b.rb",), ("a/c.rb",)], "path string")
+    got = imports.resolve(rows, files, spark.createDataFrame([], "module string, root string")).groupBy("status", "target").count()
+    assert seen == [3] and sorted(tuple(r) for r in got.filter("target is not null").collect()) == [("resolved", "a/c.rb", 1_000)]
+    assert [tuple(r) for r in got.filter("target is null").collect()] == [("unresolved", None, 2)]
