@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators.rounds import cut
+from loomgrid.operators.rounds import cut, stored
 from loomgrid.operators.sequence import numbered
 
+#: The most different values that a bootstrap sends to all tasks (16 MB).
+MAX_VALUES = 1_000_000
+
 
 def max_then_sum(messages: DataFrame, id: str, by: str, fields: list[str]) -> DataFrame:
     """Counters that repeat while a message streams: the highest of each message, then their sums."""
@@ -80,16 +87,34 @@ def bootstrap(rows: DataFrame, value: str, draws: int = 1000, seed: int = 7) ->
     """n, the mean and its 95 % interval over resamples of n rows, drawn with replacement.
 
     Each draw of each resample picks a row by its place among all values, so equal
-    rows are drawn independently and a row can be drawn any number of times. What a
-    resample adds up are counts of places. A null value is no row.
+    rows are drawn independently and a row can be drawn any number of times. Up to
+    MAX_VALUES different values, with the places where each begins, are sent to all
+    tasks, so that picks are added up where they are drawn; of more values, counts of
+    places are shuffled to the values. A null value is no row.
     """
-    own = numbered(rows.select(F.col(value).cast("double").alias("v")).filter("v is not null"), ["v"])
-    n = own.count()
+    given = rows.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    different = stored(given.groupBy("v").agg(F.count("*").alias("k")))
+    n = different.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     picks = rows.sparkSession.range(n * draws).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.pmod(drawn_number(F.lit(seed), F.col("id")), F.lit(max(n, 1))).alias("place"))
-    times = picks.groupBy("draw", "place").agg(F.count("*").alias("k"))
-    means = times.join(own, "place").groupBy("draw").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
+    if different.count() <= MAX_VALUES:
+        table = different.orderBy("v").toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((table.column("v").to_numpy(), np.cumsum(table.column("k").to_numpy())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values, ends = sent.value
+            for b in batches:
+                if b.num_rows:
+                    draw, picked = b.column(0).to_numpy(), values[np.searchsorted(ends, b.column(1).to_numpy(), side="right")]
+                    own, at = np.unique(draw, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, picked)), pa.array(np.bincount(at))], names=["draw", "s", "k"])
+
+        means = picks.mapInArrow(run, "draw long, s double, k long").groupBy("draw").agg((F.sum("s") / F.sum("k")).alias("mean"))
+    else:
+        times = picks.groupBy("draw", "place").agg(F.count("*").alias("k"))
+        means = times.join(numbered(given, ["v"]), "place").groupBy("draw").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
     ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-    return own.agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ends, F.lit(True), "left").select("n", F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    own = different.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
+    return own.join(ends, F.lit(True), "left").select("n", F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 def permuted(labels: DataFrame, item: str, replicates: int = 30, seed: int = 1) -> DataFrame:

@@ -87,3 +87,17 @@ def test_equal_declarations_are_resolved_once(spark, monkeypatch):
     got = imports.resolve(rows, files, spark.createDataFrame([], "module string, root string")).groupBy("status", "target").count()
     assert seen == [3] and sorted(tuple(r) for r in got.filter("target is not null").collect()) == [("resolved", "a/c.rb", 1_000)]
     assert [tuple(r) for r in got.filter("target is null").collect()] == [("unresolved", None, 2)]
+
+
+def test_bootstrap_sends_values_and_shuffles_no_picks(spark, monkeypatch):
+    """Picks are added up where they are drawn; of more values than are sent, the results are the same."""
+    from loomgrid.operators import account
+
+    rows = spark.range(300).selectExpr("if(id % 10 = 0, null, (id * 37) % 50) as v")
+    calls, numbered = [], account.numbered
+    monkeypatch.setattr(account, "numbered", lambda *a: calls.append(1) or numbered(*a))
+    got = account.bootstrap(rows, "v", 40).collect()
+    assert not calls
+    monkeypatch.setattr(account, "MAX_VALUES", 10)
+    assert got == account.bootstrap(rows, "v", 40).collect() and calls and got[0].n == 270
+    assert tuple(account.bootstrap(rows.filter("v is null"), "v", 40).first()) == (0, None, None, None)
