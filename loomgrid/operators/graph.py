@@ -102,11 +102,13 @@ def cascade(rows: DataFrame, lookups: list[tuple[str, list[str], DataFrame]], ke
     """
     out, tried = rows, []
     for name, columns, table in lookups:
-        found = table.groupBy(*columns).agg(F.sort_array(F.collect_set("target")).alias(f"_{name}"))
+        own = F.sort_array(F.collect_set("target"))
+        # listed and counted once a key, not once a row
+        found = table.groupBy(*columns).agg(F.struct(F.size(own).alias("n"), F.array_join(own, ",").alias("listed")).alias(f"_{name}"))
         out, tried = out.join(found, columns, "left"), [*tried, f"_{name}"]
     targets = F.coalesce(*tried)
     basis = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c[1:])) for c in tried))
-    return out.select(key, basis.alias("basis"), F.when(targets.isNull(), "unresolved").when(F.size(targets) == 1, "resolved").otherwise("ambiguous").alias("status"), F.array_join(targets, ",").alias("targets"))
+    return out.select(key, basis.alias("basis"), F.when(targets.isNull(), "unresolved").when(targets["n"] == 1, "resolved").otherwise("ambiguous").alias("status"), targets["listed"].alias("targets"))
 
 
 def graph_state(present: Column, schema_ok: Column, completed: Column, edges: Column, failed: Column, unsupported: Column, languages: Column) -> Column:

@@ -101,3 +101,14 @@ def test_bootstrap_sends_values_and_shuffles_no_picks(spark, monkeypatch):
     monkeypatch.setattr(account, "MAX_VALUES", 10)
     assert got == account.bootstrap(rows, "v", 40).collect() and calls and got[0].n == 270
     assert tuple(account.bootstrap(rows.filter("v is null"), "v", 40).first()) == (0, None, None, None)
+
+
+def test_cascade_lists_targets_once_a_key(spark):
+    """Targets are listed where they are grouped, not again for every row that has them."""
+    from loomgrid.operators import graph
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "id long, k string")
+    table = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("b", "z")], "k string, target string")
+    got = graph.cascade(rows, [("exact", ["k"], table)], "id")
+    assert "array_join" not in got._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert sorted((r.id, r.status, r.targets) for r in got.collect()) == [(1, "ambiguous", "x,y"), (2, "ambiguous", "x,y"), (3, "resolved", "z"), (4, "unresolved", None)]
