@@ -7,6 +7,10 @@ document unlike these is separated after few splits. Its mean path length alone
 the anomaly score, and labelled rows give the score beyond which documents are
 rejected: nothing but the base rule and the forest rejects.
 
+Every labelled row counts, however many there are: the ranges of the features and
+the threshold are exact quantiles over all of them, and each tree counts all
+well-rated rows in its nodes, where they weigh as much as SUBSAMPLE rows would.
+
 Defined results: a null or empty text has no words and fails the base rule. Very
 long texts are read whole, one at a time. Repeated rows and repeated doc_ids are
 judged row by row. An empty table gives no rows. Without labelled rows, or without
@@ -17,7 +21,7 @@ documents, of any name, are ignored by assess() and kept by keep_good().
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm.ordered import small_batches
+from loomgrid.llm.ordered import cut, quantiles, small_batches
 from loomgrid.llm.words import BASE, Words, mix, ranges, slices
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
-#: At most this many labelled rows are used to grow and to calibrate the forest.
-MAX_LABELLED = 20_000
 TREES, SUBSAMPLE, DEPTH, SEED = 128, 256, 14, 17
+#: Levels that trees grow between two counts of the rows in their nodes, and rows that descend at a time.
+ROUNDS, ROWS = (5, 3, 3, 3), 2_000
+#: A part of a tree with at most this weight of rows is a leaf.
+LEAST = 0.25
 #: Share of normal rows beyond either end of a feature's range, and how far splits reach, in half ranges.
 RANGE, REACH = 0.001, 3.0
 #: Share of well-rated labelled rows that calibration may lose.
@@ -108,9 +114,10 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}, features
 
 
-def _expected(n: float) -> float:
-    """Mean path length of an unsuccessful search in a random tree of n points."""
-    return 0.0 if n <= 1 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
+def _expected(n: np.ndarray) -> np.ndarray:
+    """Mean path length of an unsuccessful search in a random tree of n points; n need not be whole."""
+    n = np.maximum(n, 1.0)
+    return np.maximum(2 * (np.log(n - 0.5) + np.euler_gamma) - 2 * (n - 1) / n, 0.0)
 
 
 class Forest:
@@ -120,71 +127,115 @@ class Forest:
     range among these, from -1 to 1, and cut off at REACH. Splits are random in the
     whole box up to there, also where no normal row lies; a part without normal rows
     is a leaf at once, so that rows unlike all normal ones end on short paths.
+
+    As splits do not depend on the rows, a tree is not grown on a drawn subsample:
+    it counts all rows, each at the weight at which they make up one, and a part with
+    a weight of at most LEAST is a leaf. So a tree's size does not grow with the rows.
     """
 
     def __init__(self, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+        def count(forest: Forest) -> np.ndarray:
+            return np.bincount(forest.leaves(points).ravel(), minlength=len(forest.feature))
+
+        self.grow(np.quantile(points, RANGE, axis=0), np.quantile(points, 1 - RANGE, axis=0), len(points), count, trees, subsample, seed)
+
+    @classmethod
+    def over(cls, rows: DataFrame) -> Forest:
+        """The forest of the rows of a table, by column x: the same as of all of them in one array."""
+        named = F.explode(F.expr("transform(x, (v, i) -> struct(cast(i as string) as feature, v as value))")).alias("f")
+        ends = quantiles(rows.select(named).select("f.*"), "feature", "value", lambda _, n: [RANGE * (n - 1), (1 - RANGE) * (n - 1)])
+        low, high = (np.array([ends[str(k)][i] for k in range(len(FEATURES))]) for i in (0, 1))
+
+        def count(forest: Forest) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = np.zeros(len(forest.feature), np.int64)
+                for b in batches:
+                    x = _matrix(b)
+                    for i in range(0, len(x), ROWS):
+                        out += np.bincount(forest.leaves(x[i : i + ROWS]).ravel(), minlength=len(out))
+                met = np.flatnonzero(out)
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(out[met])], names=["node", "n"])
+
+            got = rows.select("x").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+            out = np.zeros(len(forest.feature), np.int64)
+            out[got.column("node").to_numpy()] = got.column("n").to_numpy()
+            return out
+
+        forest = cls.__new__(cls)
+        forest.grow(low, high, rows.count(), count)
+        return forest
+
+    def grow(self, low: np.ndarray, high: np.ndarray, n: int, count: Callable[[Forest], np.ndarray], trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> None:
+        """low, high: the range of each feature among n rows; count: how many of these end in each node of the trees so far."""
         rng = np.random.default_rng(seed)
-        low, high = np.quantile(points, RANGE, axis=0), np.quantile(points, 1 - RANGE, axis=0)
         self.middle, self.half = (low + high) / 2, np.maximum((high - low) / 2, 5e-4)
-        points = self._scaled(points)
-        m = max(2, min(subsample, len(points) // 2))
-        self.steps = DEPTH
-        self.norm = float(self.steps)
-        box = np.full((2, points.shape[1]), REACH) * [[-1.0], [1.0]]
-        feature, value, child, path, self.roots = [], [], [], [], []
-        for _ in range(trees):
-            self.roots.append(len(feature))
-            todo = [(self._new(feature, value, child, path), points[rng.choice(len(points), min(m, len(points)), replace=False)], box, 0)]
-            while todo:
-                at, own, (lo, hi), d = todo.pop()
-                open_ = np.flatnonzero(hi > lo) if len(own) > 1 and d < self.steps else []
-                if not len(open_):
-                    path[at] = float(d) if len(own) < 2 else min(d + _expected(len(own)), 2.0 * self.steps)
-                    continue
-                f = int(rng.choice(open_))
-                v = rng.uniform(lo[f], hi[f])
-                feature[at], value[at], child[at] = f, v, len(feature)
-                left = own[:, f] < v
-                up, down = hi.copy(), lo.copy()
-                up[f] = down[f] = v
-                for rows, part in ((own[left], (lo, up)), (own[~left], (down, hi))):
-                    todo.append((self._new(feature, value, child, path), rows, part, d + 1))
-        self.feature, self.value, self.child, self.path = np.array(feature, np.int16), np.array(value), np.array(child, np.int32), np.array(path)
-        self.roots = np.array(self.roots, np.int32)
-
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.middle) / self.half).clip(-REACH, REACH)
-
-    @staticmethod
-    def _new(feature: list, value: list, child: list, path: list) -> int:
-        for column, x in ((feature, -1), (value, 0.0), (child, 0), (path, 0.0)):
-            column.append(x)
-        return len(feature) - 1
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly scores from 0 to 1, by mean path length; higher is odder."""
-        x, out, rows = self._scaled(x), np.zeros(len(x)), np.arange(len(x))[None]
+        self.steps, self.norm, self.roots = 0, float(DEPTH), np.arange(trees, dtype=np.int32)
+        self.feature, self.value, self.child, self.path = np.full(trees, -1, np.int16), np.zeros(trees), np.zeros(trees, np.int32), np.zeros(trees)
+        weight = min(1.0, max(2, min(subsample, n // 2)) / max(n, 1))
+        last, lo, hi = self.roots if n > 1 else self.roots[:0], np.full((trees, len(low)), -REACH), np.full((trees, len(low)), REACH)
+        for levels in ROUNDS:
+            if not len(last):
+                break
+            grown = [last]
+            for _ in range(levels):
+                own, rows = grown[-1], np.arange(len(grown[-1]))
+                f = rng.integers(0, len(low), len(own))
+                v = rng.uniform(lo[rows, f], hi[rows, f])
+                self.feature[own], self.value[own], self.child[own] = f, v, len(self.feature) + 2 * rows
+                lo, hi = np.repeat(lo, 2, axis=0), np.repeat(hi, 2, axis=0)
+                hi[2 * rows, f] = lo[2 * rows + 1, f] = v
+                more = 2 * len(own)
+                grown.append(np.arange(len(self.feature), len(self.feature) + more, dtype=np.int32))
+                self.feature, self.value = np.append(self.feature, np.full(more, -1, np.int16)), np.append(self.value, np.zeros(more))
+                self.child, self.path = np.append(self.child, np.zeros(more, np.int32)), np.append(self.path, np.zeros(more))
+            self.steps += levels
+            mass = weight * count(self)
+            for own in reversed(grown[:-1]):
+                mass[own] = mass[self.child[own]] + mass[self.child[own] + 1]
+            # what lies below a leaf goes
+            kept = np.ones(len(self.feature), bool)
+            for d, own in enumerate(grown, self.steps - levels):
+                closed = (mass[own] <= LEAST + 1e-9) | (d == self.steps)
+                # in whole parts of 2 ** -16, so that sums do not depend on their order
+                self.path[own] = np.where(closed, np.round((d + _expected(mass[own])) * 65536) / 65536, 0.0)
+                if d < self.steps:
+                    both = np.stack([self.child[own], self.child[own] + 1])
+                    kept[both] = kept[own] & ~closed
+                    self.feature[own[closed]] = -1
+            going = kept[grown[-1]] & (mass[grown[-1]] > LEAST + 1e-9)
+            place = (np.cumsum(kept) - 1).astype(np.int32)
+            last, lo, hi = place[grown[-1][going]], lo[going], hi[going]
+            self.child = np.where(self.feature >= 0, place[self.child], 0)[kept].astype(np.int32)
+            self.feature, self.value, self.path = self.feature[kept], self.value[kept], self.path[kept]
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The node of each tree (first axis) in which each row ends."""
+        x, rows = ((x - self.middle) / self.half).clip(-REACH, REACH), np.arange(len(x))[None]
         at = np.repeat(self.roots[:, None], len(x), 1)
         for _ in range(self.steps):
             f = self.feature[at]
             at = np.where(f < 0, at, self.child[at] + (x[rows, np.maximum(f, 0)] >= self.value[at]))
-        if len(x):
-            out = 2.0 ** (-self.path[at].mean(0) / self.norm)
-        return out
+        return at
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Anomaly scores from 0 to 1, by mean path length; higher is odder."""
+        out = [2.0 ** (-self.path[self.leaves(x[i : i + ROWS])].mean(0) / self.norm) for i in range(0, len(x), ROWS)]
+        return np.concatenate(out) if out else np.zeros(0)
 
-def calibrate(scores: np.ndarray, good: np.ndarray, loss: float = LOSS) -> float:
-    """A threshold above which at most this share of good rows lies; none without both kinds.
+
+def calibrated(scored: DataFrame, loss: float = LOSS) -> float:
+    """A threshold above which at most this share of good rows lies; none without both kinds. scored: good and score of all labelled rows.
 
     Where badly rated rows leave a gap above that, it lies three quarters up the gap
     below 99 % of them, on the side that keeps documents.
     """
-    if not good.any() or good.all():
+    named = scored.select(F.col("good").cast("string").alias("good"), "score")
+    ends = quantiles(named, "good", "score", lambda _, n: [min(n - 1, int(np.ceil((1 - loss) * n)) - 1)])
+    if set(ends) != {"true", "false"}:
         return float("inf")
-    own = np.sort(scores[good])
-    least = float(own[min(len(own) - 1, int(np.ceil((1 - loss) * len(own))) - 1)])
-    bad = scores[~good & (scores > least)]
-    return least + 0.75 * (float(np.quantile(bad, 0.01)) - least) if len(bad) else least
+    (least,) = ends["true"]
+    bad = quantiles(named.filter(~F.col("good").cast("boolean") & (F.col("score") > least)), "good", "score", lambda _, n: [0.01 * (n - 1)])
+    return least + 0.75 * (bad["false"][0] - least) if bad else least
 
 
 def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -194,29 +245,44 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 class Judge:
     """A forest of well-rated rows in a box around all labelled ones, and the score beyond which documents go."""
 
-    def __init__(self, x: np.ndarray, good: np.ndarray):
-        self.forest = Forest(x[good]) if good.any() else None
-        self.threshold = calibrate(self.score(x), good)
+    def __init__(self, forest: Forest | None = None, threshold: float = float("inf")):
+        self.forest, self.threshold = forest, threshold
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.zeros(len(x)) if self.forest is None else self.forest.score(x)
 
 
-def fit_judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Judge:
-    """Grown and calibrated on at most max_labelled labelled rows, the same ones each time."""
-    chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed and x, the features, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             counts, x = statistics(b.column("text"))
-            ok = ~base_failed(counts)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").filter(pa.array(ok)), "quality": b.column("quality").cast(pa.int64()).filter(pa.array(ok)), "x": pa.array(list(x[ok]), pa.list_(pa.float64()))})
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(counts[c]) for c in COUNTS), pa.array(base_failed(counts)), lists], names=["doc_id", *COUNTS, "base_failed", "x"])
+
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
+
+
+def fit_judge(rows: DataFrame, labels: DataFrame) -> Judge:
+    """Grown and calibrated on all labelled rows that pass the base rule; rows: as measured() gives them."""
+    rated = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    rows = cut(rows.filter("not base_failed").select("doc_id", "x").join(rated, "doc_id").select("good", "x"))
+    good = rows.filter("good")
+    if good.isEmpty():
+        return Judge()
+    judge = Judge(Forest.over(good))
 
-    got = rows.mapInArrow(run, "doc_id long, quality long, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES))
-    return Judge(x, got.column("quality").to_numpy() > 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("good"), pa.array(judge.score(_matrix(b)))], names=["good", "score"])
+
+    return Judge(judge.forest, calibrated(cut(rows.mapInArrow(run, "good boolean, score double"))))
 
 
 RESULT = [*((c, T.LongType()) for c in COUNTS), ("base_failed", T.BooleanType()), ("anomaly", T.DoubleType()), ("kept", T.BooleanType())]
@@ -224,22 +290,21 @@ RESULT = [*((c, T.LongType()) for c in COUNTS), ("base_failed", T.BooleanType())
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, the anomaly score, and whether the document is kept."""
-    judge = fit_judge(docs, labels)
+    rows = cut(measured(docs))
+    judge = fit_judge(rows, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            counts, x = statistics(b.column("text"))
-            score, bad = judge.score(x), base_failed(counts)
-            cols = [*(pa.array(counts[c]) for c in COUNTS), pa.array(bad), pa.array(score), pa.array(~bad & (score <= judge.threshold))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", *(c for c, _ in RESULT)])
+        for b in batches:
+            score, bad = judge.score(_matrix(b)), b.column("base_failed").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array(~bad & (score <= judge.threshold))], names=["doc_id", *(c for c, _ in RESULT)])
 
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in RESULT)])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", *COUNTS, "base_failed", "x").mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that are kept, with all their columns."""
-    judge = fit_judge(docs, labels)
+    judge = fit_judge(measured(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

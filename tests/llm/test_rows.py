@@ -47,6 +47,41 @@ def test_isolation_paths():
     assert forest.score(np.array([[9.0, 9.0, 9.0]]))[0] > forest.score(x).max()
 
 
+def test_every_labelled_row_counts(spark, small):
+    """Ranges, node counts and the threshold are those of all labelled rows, as plain arrays give them, and no draw of them."""
+    import numpy as np
+
+    docs, labels = spark.read.parquet(f"{small}/../sf0.01/documents.parquet"), spark.read.parquet(f"{small}/../sf0.01/labels.parquet")
+    measured = quality.measured(docs)
+    judge = quality.fit_judge(measured, labels)
+    got = measured.filter("not base_failed").join(labels.groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "quality"), "doc_id").collect()
+    x, good = np.array([r.x for r in got]), np.array([r.quality > 0 for r in got])
+    want = quality.Forest(x[good])
+    for name in ("middle", "half", "feature", "value", "child", "path"):
+        assert np.allclose(getattr(judge.forest, name), getattr(want, name)), name
+    # each row has the same weight in every tree: what ends in the leaves is all of them
+    assert want.leaves(x[good]).shape == (quality.TREES, good.sum()) and (want.feature[want.leaves(x[good])] < 0).all()
+    score = want.score(x)
+    least = np.sort(score[good])[int(np.ceil((1 - quality.LOSS) * good.sum())) - 1]
+    odd = score[~good & (score > least)]
+    assert np.isclose(judge.threshold, least + 0.75 * (np.quantile(odd, 0.01) - least))
+
+
+def test_judge_sees_more_rows_than_any_bound(spark):
+    """One badly rated row of 30,000 and one well-rated row far off count, wherever a hash puts them."""
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(30_000, len(quality.FEATURES)))
+    for k in (0, 29_999):
+        x[k] = 50.0 + k
+    rows = spark.createDataFrame([(i, False, v.tolist()) for i, v in enumerate(x)], "doc_id long, base_failed boolean, x array<double>")
+    for odd in (0, 29_999):
+        judge = quality.fit_judge(rows, spark.range(30_000).selectExpr("id as doc_id", f"cast(id <> {odd} as int) as quality"))
+        assert judge.threshold < judge.score(x[[odd]])[0]
+        normal = np.delete(x, odd, axis=0)
+        assert np.allclose(judge.forest.middle, (np.quantile(normal, quality.RANGE, axis=0) + np.quantile(normal, 1 - quality.RANGE, axis=0)) / 2)
+
+
 def spans(text):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32)]
     out = [(m.start(), n, k, m.end()) for n, (k, p, g, least) in enumerate(kinds) for m in p.finditer(text or "") if len(m[g]) >= least]
