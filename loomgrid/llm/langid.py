@@ -7,9 +7,10 @@ each run of other than letters becomes one space, and its cross-entropy under
 each model is divided by its length; the lowest wins. The models lie in sorted
 hash arrays, one for each order, with the log probability under each language.
 
-A sample of training rows calibrates two numbers: the sharpness that turns
+All training rows with letters calibrate two numbers: the sharpness that turns
 differences of cross-entropy into a score, and each language's highest plausible
-cross-entropy; a text above it is marked as rejected, beside its best language.
+cross-entropy, an exact quantile; a text above it is marked as rejected, beside its
+best language.
 
 The models are broadcast whole, in blocks of languages. A block has at most
 MAX_CELLS grams times languages, or one language; of several blocks a task holds
@@ -36,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm.ordered import cut
+from loomgrid.llm.ordered import cut, quantiles
 from loomgrid.llm.words import mix, slices
 
-ORDER, MAX_CELLS, MAX_SAMPLE, REJECT = 4, 8_000_000, 4_000, 0.002
+ORDER, MAX_CELLS, REJECT = 4, 8_000_000, 0.002
+SHARPNESS = [2.0**k for k in range(-1, 7)]
 HELD_SLICES, HELD_CELLS = 64, 4_000_000
 SPACE = 0x20
 #: The surrogates and the private use area after them.
@@ -232,7 +234,7 @@ class Model:
 
 
 class Identifier:
-    """The models of all languages in broadcast blocks, and what a sample calibrates."""
+    """The models of all languages in broadcast blocks, and what the training rows calibrate."""
 
     def __init__(self, langs: list[str], blocks: list[Broadcast]):
         self.langs, self.blocks = langs, blocks
@@ -270,17 +272,27 @@ class Identifier:
         score = 1.0 / np.exp(-self.sharpness * (e - low[:, None])).sum(1)
         return [self.langs[k] if m else "und" for k, m in zip(pick, n, strict=True)], np.where(n > 0, score, 0.0), (n == 0) | (low > self.highest[pick])
 
-    def calibrate(self, e: np.ndarray, lang: np.ndarray) -> None:
-        """e: entropies of labelled rows; lang: index of each one's language."""
-        if not len(e):
+    def calibrate(self, rows: DataFrame) -> None:
+        """By all rows of text and lang that have letters."""
+        place = {x: k for k, x in enumerate(self.langs)}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, e, n in self.scored(batches):
+                some = np.flatnonzero(n)
+                e, lang = e[some], b.column("lang").take(pa.array(some))
+                at = np.arange(len(some)), np.array([place[x] for x in lang.to_pylist()], np.int64)
+                gap = e - e.min(1, initial=np.inf)[:, None]
+                fits = [-t * gap[at] - np.log(np.exp(-t * gap).sum(1)) for t in SHARPNESS]
+                yield pa.RecordBatch.from_arrays([lang, pa.array(e[at]), *map(pa.array, fits)], names=["lang", "own", *names])
+
+        names = [f"fit{k}" for k in range(len(SHARPNESS))]
+        scored = cut(rows.select("text", "lang").mapInArrow(run, T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("own", *names))])))
+        fit = scored.agg(*(F.avg(c).alias(c) for c in names)).first()
+        if fit[names[0]] is None:
             return
-        gap = e - e.min(1)[:, None]
-        fit = lambda t: (-t * gap[np.arange(len(e)), lang] - np.log(np.exp(-t * gap).sum(1))).mean()
-        self.sharpness = max((2.0**k for k in range(-1, 7)), key=fit)
-        for k in range(len(self.langs)):
-            own = e[lang == k, k]
-            if len(own):
-                self.highest[k] = np.quantile(own, 1 - REJECT)
+        self.sharpness = SHARPNESS[max(range(len(names)), key=lambda k: fit[names[k]])]
+        for lang, (x,) in quantiles(scored, "lang", "own", lambda _, n: [(1 - REJECT) * (n - 1)]).items():
+            self.highest[place[lang]] = x
 
 
 def blocks_of(sizes: list[int], max_cells: int) -> list[list[int]]:
@@ -297,8 +309,8 @@ def blocks_of(sizes: list[int], max_cells: int) -> list[list[int]]:
     return out
 
 
-def train(docs: DataFrame, max_cells: int = MAX_CELLS, max_sample: int = MAX_SAMPLE) -> Identifier:
-    """Learns from every row of text and lang; calibrates on at most max_sample of them, the same ones each time."""
+def train(docs: DataFrame, max_cells: int = MAX_CELLS) -> Identifier:
+    """Learns from every row of text and lang, and calibrates on every one."""
     rows = docs.filter("text is not null and lang is not null and doc_id is not null")
     counts = cut(gram_counts(rows.select("text", "lang")))
     sizes = [(r["lang"], r["count"]) for r in counts.groupBy("lang").count().orderBy("lang").collect()]
@@ -315,17 +327,8 @@ def train(docs: DataFrame, max_cells: int = MAX_CELLS, max_sample: int = MAX_SAM
         model = Model(own, place[code.indices.to_numpy()], got.column("gram").to_numpy().view(U), got.column("count").to_numpy().astype(float), alphabet)
         blocks.append(docs.sparkSession.sparkContext.broadcast(model))
         del got, code, model
-    models, place = Identifier(langs, blocks), {x: k for k, x in enumerate(langs)}
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, e, n in models.scored(batches):
-            ok = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(ok), b.column("lang").filter(ok), pa.array(list(e), pa.list_(pa.float64())).filter(ok)], names=["doc_id", "lang", "e"])
-
-    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("e", T.ArrayType(T.DoubleType()))]))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample).toArrow()
-    models.calibrate(np.array(sample.column("e").to_pylist()).reshape(-1, len(langs)), np.array([place[x] for x in sample.column("lang").to_pylist()], np.int64))
+    models = Identifier(langs, blocks)
+    models.calibrate(rows)
     return models
 
 

@@ -222,6 +222,28 @@ def test_blocks_of_languages_lose_no_gram(spark, docs):
     assert len(whole.blocks) == 1 < len(parts.blocks) and parts.langs == whole.langs
 
 
+def test_language_calibrates_on_every_row(spark, docs):
+    """Sharpness and highest cross-entropies are those of all training rows, of which there are more than 4,000."""
+    import numpy as np
+    import pyarrow as pa
+
+    base = docs.filter("length(text) < 2000").select("doc_id", "lang", "text")
+    more = base.join(spark.range(40).withColumnRenamed("id", "k")).selectExpr("doc_id + 100000 * k as doc_id", "lang", "case when doc_id % 7 = k % 7 then substring(text, 1, 10 + k) else text end as text")
+    models = langid.train(more)
+    rows = more.filter("doc_id is not null and lang is not null and text is not null").collect()
+    assert len(rows) > 4_000
+    (e, n), = models._entropies([pa.array([r.text for r in rows])])
+    lang = np.array([models.langs.index(r.lang) if m else -1 for r, m in zip(rows, n, strict=True)])
+    for k in range(len(models.langs)):
+        assert np.isclose(models.highest[k], np.quantile(e[lang == k, k], 1 - langid.REJECT))
+    e, lang = e[n > 0], lang[n > 0]
+    gap = e - e.min(1)[:, None]
+    fit = {t: (-t * gap[np.arange(len(e)), lang] - np.log(np.exp(-t * gap).sum(1))).mean() for t in langid.SHARPNESS}
+    assert models.sharpness == max(fit, key=fit.get)
+    blank = docs.selectExpr("doc_id", "'en' as lang", "'12 34' as text")
+    assert {r.lang_pred for r in langid.identify(blank, langid.train(blank)).collect()} == {"und"}
+
+
 def test_gram_blocks():
     assert langid.blocks_of([5, 5, 100, 1, 1, 1], 20) == [[0, 1], [2], [3, 4, 5]]
 
