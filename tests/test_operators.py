@@ -1,5 +1,7 @@
 """Operators on small literals, where the plain tables cannot show a case."""
 
+import ast
+
 from loomgrid.functions import source_facts, text
 from loomgrid.operators import account, cluster, graph, scan, sequence, tree
 from loomgrid.streaming import events
@@ -97,6 +99,21 @@ def test_python_facts():
     assert source_facts.facts("def (") == []
 
 
+def test_long_sources_are_parsed_in_pieces(spark, monkeypatch):
+    """No tree of a whole long source is held, and its facts are those of the whole."""
+    part = 'def f{0}(a, b={0}):\n    if a:\n        raise ValueError(b)\ntry:\n    X{0} = """\ndef no(c=1): pass\n"""\nfinally:\n    pass\n@d\nclass C{0}:\n    def g(self, *, k={0}):\n        pass\n'
+    source, parse, seen = "LIMIT = 3\r\n" + "".join(part.format(i) for i in range(3000)), ast.parse, []
+    monkeypatch.setattr(source_facts, "PIECE", len(source))
+    want = source_facts.facts(source), source_facts.declarations(source)
+    monkeypatch.setattr(source_facts, "PIECE", 100)
+    monkeypatch.setattr(source_facts.ast, "parse", lambda x: seen.append(len(x)) or parse(x))
+    assert (source_facts.facts(source), source_facts.declarations(source)) == want and len(want[0]) == 12_001 and len(want[1]) == 9_000
+    assert max(seen) < 2_000 < len(source)
+    assert source_facts.facts(source + "else:\n  pass\n") == source_facts.declarations(source + "x = (") == []
+    got = source_facts.python_facts(spark.createDataFrame([("p", source), ("q", None), ("r", "def (")], "path string, source string")).collect()
+    assert [tuple(r)[1:] for r in got] == want[0] and {r.path for r in got} == {"p"}
+
+
 def test_texts(spark):
     assert one(spark, text.summary_sentence, "First one. Second.") == "First one."
     assert one(spark, text.summary_sentence, "See e.g. the map. More.") == "See e.g. the map." and one(spark, text.summary_sentence, "no end\nhere") == "no end"
