@@ -2,6 +2,7 @@
 
 import ast
 
+import pyarrow as pa
 from loomgrid.functions import source_facts, text
 from loomgrid.operators import account, cluster, graph, scan, sequence, tree
 from loomgrid.streaming import events
@@ -114,6 +115,20 @@ def test_long_sources_are_parsed_in_pieces(spark, monkeypatch):
     assert [tuple(r)[1:] for r in got] == want[0] and {r.path for r in got} == {"p"}
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    """Counting tokens holds a few texts at a time, not thousands."""
+    own = spark.newSession()
+    texts = own.range(0, 400, 1, 1).selectExpr("cast(id as string) as path", "case when id > 0 then repeat('word ', 10000) end as source")
+    counts = source_facts.token_counts(texts, "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    assert {(r.path == "0", r.tokens > 9_999) for r in counts.collect()} == {(True, False), (False, True)} and counts.filter("path = 0").first().tokens == 0
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    assert texts.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0] < 2 * source_facts.BATCH_BYTES
+
+
 def test_texts(spark):
     assert one(spark, text.summary_sentence, "First one. Second.") == "First one."
     assert one(spark, text.summary_sentence, "See e.g. the map. More.") == "See e.g. the map." and one(spark, text.summary_sentence, "no end\nhere") == "no end"
