@@ -94,7 +94,10 @@ def edge_coordinates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     own = nodes.select(F.col("id").alias("source"), F.col("path").alias("_path"), F.col("start_line").alias("_line"), F.col("owner").alias("_owner"))
     held = nodes.select(F.col("id").alias("_owner"), F.col("path").alias("_held_path"), F.col("start_line").alias("_held_line"), F.lit(True).alias("_held"))
-    met = edges.select("id", "kind", "source", "path", "line", "column").join(own, "source", "left").join(held, "_owner", "left")
+    # nodes look their owners up, not edges; those without one take no part, as all of them would meet in one task
+    alone = own.filter("_owner is null").select("source", "_path", "_line", *(F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns[1:]))
+    own = own.filter("_owner is not null").join(held, "_owner", "left").select(*alone.columns).unionByName(alone)
+    met = edges.select("id", "kind", "source", "path", "line", "column").join(own, "source", "left")
     call = F.col("kind") == "call"
     return met.select(
         "id", F.when(call, F.coalesce("path", "_path")).when(F.col("_held"), F.col("_held_path")).otherwise(F.col("_path")).alias("path"),

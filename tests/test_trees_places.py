@@ -120,3 +120,21 @@ def test_owners_of_edges(spark):
     ranges = spark.createDataFrame([("a", "a#2", 0, 100, 2), ("a", "a#1", 5, 12, 1), ("c", "c#0", 0, 1, 0)], "path string, range_id string, start_byte long, end_byte long, ordinal long")
     found = coordinates.owners(coordinates.edge_coordinates(edges, nodes), coordinates.line_index(files), ranges)
     assert {r.id: r.owner for r in found.collect()} == {"1": "a#1", "2": "a#2", "3": "c#0"}
+
+
+def test_nodes_without_an_owner_do_not_meet_in_one_task(spark):
+    """Edges, most of whose nodes have no owner, are not dealt by that owner; what they stand at is the same."""
+    from loomgrid.operators import coordinates
+
+    nodes = spark.range(4000).selectExpr("'n' || id as id", "'p' || (id % 50) as path", "cast(id as int) as start_line", "case when id % 100 = 1 then 'n' || (id - 1) when id % 100 = 2 then 'gone' end as owner")
+    edges = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 'call', 'import') as kind", "'n' || (id + if(id % 100 = 0, 1, 0)) as source", "cast(null as string) as path", "7 as line", "3 as column")
+    found = coordinates.edge_coordinates(edges, nodes)
+    own = {r.id: r for r in nodes.collect()}
+    for r in found.collect():
+        node = own[f"n{r.id + (r.id % 100 == 0)}"]
+        at = node if r.id % 2 == 0 else own.get(node.owner, node)
+        assert (r.path, r.line, r.column) == (at.path, 7 if r.id % 2 == 0 else at.start_line, 3 if r.id % 2 == 0 else None)
+    assert found.count() == 4000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the join by owner takes the nodes that have one, and no edges
+    assert plan.count("Join LeftOuter") == 2 and "Union" in plan.split("Join LeftOuter")[1]
