@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.rounds import stored
+
 #: The order of capability statuses, best first by rank.
 STATUS_RANK = {"resolved": 6, "partial": 5, "empty": 4, "not_requested": 4, "unsupported": 3, "failed": 2, "unavailable": 1}
 
@@ -100,15 +102,21 @@ def cascade(rows: DataFrame, lookups: list[tuple[str, list[str], DataFrame]], ke
 
     lookups: name, columns to match, and a table of these columns and target.
     """
-    out, tried = rows, []
-    for name, columns, table in lookups:
-        own = F.sort_array(F.collect_set("target"))
-        # listed and counted once a key, not once a row
-        found = table.groupBy(*columns).agg(F.struct(F.size(own).alias("n"), F.array_join(own, ",").alias("listed")).alias(f"_{name}"))
-        out, tried = out.join(found, columns, "left"), [*tried, f"_{name}"]
-    targets = F.coalesce(*tried)
-    basis = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c[1:])) for c in tried))
-    return out.select(key, basis.alias("basis"), F.when(targets.isNull(), "unresolved").when(targets["n"] == 1, "resolved").otherwise("ambiguous").alias("status"), targets["listed"].alias("targets"))
+    # a row learns its rule and its targets' number first; a list can be long, so it meets its rows last and no shuffle of rows carries it
+    own = F.sort_array(F.collect_set("target"))
+    lists = {name: (columns, stored(table.groupBy(*columns).agg(F.size(own).alias("_n"), F.array_join(own, ",").alias("targets")))) for name, columns, table in lookups}
+    out = rows
+    for name, (columns, found) in lists.items():
+        out = out.join(found.select(*columns, F.col("_n").alias(f"_n_{name}")), columns, "left")
+    n = F.coalesce(*(F.col(f"_n_{name}") for name in lists))
+    basis = F.coalesce(*(F.when(F.col(f"_n_{name}").isNotNull(), F.lit(name)) for name in lists))
+    status = F.when(n.isNull(), "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
+    used = dict.fromkeys([key, *(c for columns, _ in lists.values() for c in columns)])
+    told = stored(out.select(*used, basis.alias("basis"), status.alias("status")))
+    every = told.filter("basis is null").select(key, "basis", "status", F.lit(None).cast("string").alias("targets"))
+    for name, (columns, found) in lists.items():
+        every = every.unionByName(told.filter(F.col("basis") == name).join(found.drop("_n"), columns).select(key, "basis", "status", "targets"))
+    return every
 
 
 def graph_state(present: Column, schema_ok: Column, completed: Column, edges: Column, failed: Column, unsupported: Column, languages: Column) -> Column:

@@ -32,3 +32,20 @@ def test_files_of_go_packages_are_not_shuffled_once_an_import(spark, monkeypatch
     assert told(found) == sorted(expected, key=str)
     monkeypatch.setattr(imports, "GO_LIST", 7)
     assert told(imports.resolve(rows, files, modules).collect()) == told(found)
+
+
+def test_lists_of_targets_are_not_shuffled_once_a_row(spark):
+    """2,000 rows of one key have a list of 2,000 targets each, which no shuffle carries with them."""
+    from loomgrid.operators import graph
+
+    rows = spark.range(2_000).selectExpr("id", "'a' as k", "'b' as l").unionByName(spark.createDataFrame([(-1, "c", "b"), (-2, "c", "c"), (-3, None, "b")], "id long, k string, l string"))
+    exact = spark.range(2_000).selectExpr("'a' as k", "concat('target', id) as target")
+    near = spark.createDataFrame([("b", "y"), ("a", "z")], "l string, target string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, _, size = shuffled(spark, lambda: graph.cascade(rows, [("exact", ["k"], exact), ("near", ["l"], near)], "id").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert size < 500_000
+    listed = ",".join(sorted(f"target{i}" for i in range(2_000)))
+    assert {r.id: tuple(r)[1:] for r in found} == {i: ("exact", "ambiguous", listed) for i in range(2_000)} | {-1: ("near", "resolved", "y"), -2: (None, "unresolved", None), -3: ("near", "resolved", "y")}
