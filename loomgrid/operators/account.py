@@ -125,8 +125,9 @@ def permuted(labels: DataFrame, item: str, replicates: int = 30, seed: int = 1)
     """
     own = cut(numbered(labels, [item]))
     n = own.count()
-    each = own.drop("place").withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).withColumn("_key", drawn_number(F.lit(seed), F.col("replicate"), F.col(item)))
-    dealt = numbered(each, ["replicate", "_key", item]).withColumn("place", F.col("place") - F.col("replicate") * n).drop("_key", item)
+    # an item's place stands for the item, whose order it has
+    each = own.withColumnRenamed("place", "_own").withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).withColumn("_key", drawn_number(F.lit(seed), F.col("replicate"), F.col(item))).drop(item)
+    dealt = numbered(each, ["replicate", "_key", "_own"], [c for c in each.columns if c not in ("_key", "_own")]).withColumn("place", F.col("place") - F.col("replicate") * n)
     return dealt.join(own.select(item, "place"), "place").drop("place")
 
 
@@ -146,16 +147,26 @@ def modularity_of_replicates(weights: DataFrame, shares: DataFrame) -> DataFrame
 def modularity_of_labels(weights: DataFrame, labels: DataFrame) -> DataFrame:
     """replicate and q of groups without shares. weights: a, b, weight; labels: replicate, item, group, once an item and replicate.
 
-    An item's groups in all replicates are one map, so a weight meets its two ends once
-    and not once a replicate.
+    An item's groups in all replicates are one array of their numbers, in the fewest bytes
+    that hold these, so a weight meets its two ends once and carries one short array.
     """
     total = weights.agg(F.sum("weight").alias("m"))
-    own = labels.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "group"))).alias("_in"))
+    replicates = [r[0] for r in labels.select("replicate").distinct().orderBy("replicate").collect()]
+    groups = cut(numbered(labels.select("group").filter("`group` is not null").distinct(), ["group"]))
+    n = groups.count()
+    kind = "tinyint" if n <= 127 else "smallint" if n <= 32_767 else "int"
+    coded = labels.join(groups if kind == "int" else F.broadcast(groups), "group", "left").select("item", "replicate", F.coalesce("place", F.lit(-1)).cast(kind).alias("_number"))
+    # one number a replicate; -1 is a null group, null is none
+    own = stored(coded.groupBy("item").agg(*(F.max(F.when(F.col("replicate") == r, F.col("_number"))).alias(f"_{i}") for i, r in enumerate(replicates))).select("item", F.array(*(f"_{i}" for i in range(len(replicates)))).cast(f"array<{kind}>").alias("_in")))
     a, b = own.select(F.col("item").alias("a"), F.col("_in").alias("_a")), own.select(F.col("item").alias("b"), F.col("_in").alias("_b"))
-    met = weights.join(a, "a").join(b, "b").select("weight", F.explode(F.filter(F.map_keys("_a"), lambda r: F.try_element_at("_a", r) == F.try_element_at("_b", r))).alias("replicate"))
-    inside = met.groupBy("replicate").agg(F.sum("weight").alias("inside"))
+    same = lambda i: (F.col("_a")[i] == F.col("_b")[i]) & (F.col("_a")[i] >= 0)
+    sums = weights.join(a, "a").join(b, "b").agg(*(F.sum(F.when(same(i), F.col("weight"))).alias(f"_{i}") for i in range(len(replicates))))
+    told = F.array(*(F.struct(F.lit(r).alias("replicate"), F.col(f"_{i}").alias("inside")) for i, r in enumerate(replicates)))
+    inside = sums.select(F.explode(told).alias("t")).select("t.*") if replicates else labels.select("replicate", F.lit(0.0).alias("inside"))
     ends = weights.select(F.col("a").alias("item"), "weight").unionByName(weights.select(F.col("b").alias("item"), "weight")).groupBy("item").agg(F.sum("weight").alias("k"))
-    k = ends.join(labels, "item").groupBy("replicate", "group").agg(F.sum("k").alias("k")).groupBy("replicate").agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
+    k = ends.join(own, "item").select("k", F.posexplode("_in").alias("_at", "_number")).filter("_number is not null").groupBy("_at", "_number").agg(F.sum("k").alias("k"))
+    k = k.groupBy("_at").agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
+    k = k.select(F.element_at(F.array(*map(F.lit, replicates)), F.col("_at") + 1).alias("replicate"), "kk") if replicates else labels.select("replicate", F.lit(0.0).alias("kk"))
     found = labels.select("replicate").distinct().join(inside, "replicate", "left").join(k, "replicate", "left").join(total, F.lit(True))
     m = F.col("m")
     return found.select("replicate", F.when(m > 0, F.coalesce("inside", F.lit(0.0)) / m - F.coalesce("kk", F.lit(0.0)) / (4 * m * m)).otherwise(F.lit(float("nan"))).alias("q"))

@@ -183,10 +183,10 @@ _Q = "coalesce(inside, 0) / m - coalesce(kk, 0) / (4 * m * m)"
 )
 def modularity_b1(spark, d):
     """Modularity of the leaf groups over call weights, and its mean over 30 permutations of the labels."""
-    from loomgrid.sources.corpus import membership, unit_links
+    from loomgrid.sources.corpus import membership, unit_meetings
 
-    links = unit_links(spark, d)
-    pairs = stored(links.groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.sum("count").cast("double").alias("weight")))
+    met = unit_meetings(spark, d)
+    pairs = stored(met.groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.count("*").cast("double").alias("weight")))
     labels = membership(spark, d).select(F.col("unit").alias("item"), F.col("node").alias("group"))
     every = stored(account.permuted(labels, "item").unionByName(labels.withColumn("replicate", F.lit(-1).cast("long"))))
     found = account.modularity_of_labels(pairs, every)

@@ -49,3 +49,19 @@ def test_lists_of_targets_are_not_shuffled_once_a_row(spark):
     assert size < 500_000
     listed = ",".join(sorted(f"target{i}" for i in range(2_000)))
     assert {r.id: tuple(r)[1:] for r in found} == {i: ("exact", "ambiguous", listed) for i in range(2_000)} | {-1: ("near", "resolved", "y"), -2: (None, "unresolved", None), -3: ("near", "resolved", "y")}
+
+
+def test_weights_carry_a_byte_a_replicate(spark):
+    """Weights meet their ends' groups in all replicates as short arrays; null and missing groups count as in the general form."""
+    from loomgrid.operators import account
+
+    weights = spark.range(20_000).selectExpr("concat('i', id % 97) as a", "concat('i', 97 + id % 101) as b", "cast(1 + id % 3 as double) as weight")
+    labels = spark.range(198 * 31).selectExpr("id div 198 - 1 as replicate", "concat('i', id % 198) as item", "if(id % 50 = 7, null, concat('a long name of a group ', hash(id) % 20)) as `group`").filter("replicate <> 5 or item <> 'i3'")
+    rounded = lambda df: sorted((r.replicate, round(r.q, 9)) for r in df.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, _, size = shuffled(spark, lambda: rounded(account.modularity_of_labels(weights, labels)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 31 and got == rounded(account.modularity_of_replicates(weights, account.hard(labels)))
+    assert size < 800_000
